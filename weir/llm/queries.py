@@ -7,9 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann, chat_format
 from .common import small_batches, table
 from .exact_dedup import exact_dedup
+from .packing import pack, pieces
+from .pieces import encode_digests
 from .simhash import near_duplicates
+from .token_counts import section_counts
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +28,49 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    small_batches(spark)
+    return section_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="most")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pack(pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))).withColumnRenamed("_id", "doc_id")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_rid")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    vectors = ann.clean(table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.where("_id % 100 = 0"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().alias("message"), "role", "text")
+    return chat_format.digests(chat_format.format_chats(events))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 SQL: dict[str, str] = {
@@ -31,4 +78,14 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op10_chat_formatting": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+             e AS (SELECT *, length(regexp_replace(role, '([<\\[])(\\\\*)(/?s>|/?INST\\])', '\\1\\2\\\\\\3', 'g')) AS r,
+                          length(regexp_replace(text, '([<\\[])(\\\\*)(/?s>|/?INST\\])', '\\1\\2\\\\\\3', 'g')) AS x FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(3 + sum(6 + r + 7 + x + 4) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
