@@ -72,3 +72,73 @@ def word_slices(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
             end += 1
         yield text[start:end].lower().split()
         start = end
+
+
+def process_cache(key: tuple, make):
+    """A value kept in a Python worker between tasks: workers are reused, and what they learnt stays valid."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_weir_process_cache", types.ModuleType("_weir_process_cache")).__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+class _Numbered(dict):
+    """Gives each key that it hasn't met the next number, and lists those keys."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+class WordIds:
+    """Ids of words that are encoded independently: each new word once, by learn(words) -> lists of ids. At most about `most`
+    words are kept: memory is bounded, and the words are learnt anew after that."""
+
+    def __init__(self, learn, most: int):
+        import numpy as np
+
+        self.learn, self.most, self.np = learn, most, np
+        self._clear()
+
+    def _clear(self) -> None:
+        np = self.np
+        self.known = _Numbered()
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __call__(self, texts: list[list]) -> list:
+        """An array of ids for each list of words."""
+        np = self.np
+        if len(self.known) > self.most:
+            self._clear()
+        number = self.known.__getitem__
+        at = [np.fromiter(map(number, words), np.int64, len(words)) for words in texts]
+        if new := self.known.new:
+            from itertools import chain
+
+            try:
+                found = self.learn(new)
+            except BaseException:
+                self._clear()
+                raise
+            self.known.new = []
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + self.starts[-1]
+            more = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - self.starts[-1]))
+            n = int(ends[-1])
+            if n > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.starts[-1]], np.zeros(max(n - int(self.starts[-1]), len(self.ids)), np.uint32)])
+            self.ids[self.starts[-1] : n] = more
+            self.starts = np.concatenate([self.starts, ends])
+        out = []
+        for a in at:
+            start = self.starts[a]
+            size = self.starts[a + 1] - start
+            ends = np.cumsum(size)
+            out.append(self.ids[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)])
+        return out

@@ -18,53 +18,28 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import WordIds, materialize, process_cache, text_of
 
 CAPACITY, GROUP, END_ID = 4096, 8192, 1
 #: First bytes of the UTF-8 of combining marks: where one may be, letters are not lower-cased ahead of the tokenizer.
 _MARKS = (b"\xcc", b"\xcd", b"\xe1\xaa", b"\xe1\xab", b"\xe1\xb7", b"\xe2\x83", b"\xef\xb8")
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 1_000_000
 
 
 def word_encoder(path: str) -> Callable[[list[bytes]], list]:
     """Texts to arrays of ids, for tokenizers that drop white space: a word between ASCII white space is encoded once and its
     ids are kept; lower-casing ahead only where it can't change what the tokenizer's own normalization gives."""
-    import numpy as np
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    known: dict[bytes, int] = {}
-    state = {"ids": np.zeros(1 << 20, np.uint32), "n": 0, "start": [], "length": []}
-
-    def learn(words: list[bytes]) -> None:
-        for e, w in zip(tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), words):
-            ids = e.ids
-            n, k = state["n"], len(ids)
-            if n + k > len(state["ids"]):
-                state["ids"] = np.concatenate([state["ids"], np.zeros(max(k, len(state["ids"])), np.uint32)])
-            state["ids"][n : n + k] = ids
-            known[w] = len(state["start"])
-            state["start"].append(n)
-            state["length"].append(k)
-            state["n"] = n + k
+    ids_of = process_cache(("words", path), lambda: WordIds(lambda words: [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)], _WORDS_KEPT))
 
     def encode(texts: list[bytes]) -> list:
-        if len(known) > _WORDS_KEPT:
-            known.clear()
-            state.update(n=0, start=[], length=[])
-        out = []
-        split = [(t if any(m in t for m in _MARKS) else t.lower()).split() for t in texts]
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            learn(list(new))
-        start, length = np.array(state["start"], np.int64), np.array(state["length"], np.int64)
-        for ws in split:
-            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            n = length[at]
-            ends = np.cumsum(n)
-            out.append(state["ids"][np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        return ids_of([(t if any(m in t for m in _MARKS) else t.lower()).split() for t in texts])
 
     return encode
 

@@ -19,10 +19,10 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import WordIds, process_cache, text_of
 
 SPACE = "▁"
-_LONG, _WORDS_KEPT = 48, 300_000
+_LONG, _WORDS_KEPT = 48, 1_000_000
 
 
 class MergeVocabulary:
@@ -32,6 +32,7 @@ class MergeVocabulary:
         import numpy as np
         import sentencepiece
 
+        self.path = path
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bos, self.eos = m.bos_id(), m.eos_id()
         normal = {m.id_to_piece(i): i for i in range(m.vocab_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
@@ -163,38 +164,11 @@ def encoder(vocabulary: MergeVocabulary):
     import numpy as np
 
     parts = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+").findall
-    known: dict[str, int] = {}
-    state = {"ids": np.zeros(1 << 20, np.uint32), "n": 0, "start": [], "length": []}
-
-    def learn(words: list[str]) -> None:
-        for w, ids in zip(words, vocabulary.encode_words(words)):
-            n, k = state["n"], len(ids)
-            if n + k > len(state["ids"]):
-                state["ids"] = np.concatenate([state["ids"], np.zeros(max(k, len(state["ids"])), np.uint32)])
-            state["ids"][n : n + k] = ids
-            known[w] = len(state["start"])
-            state["start"].append(n)
-            state["length"].append(k)
-            state["n"] = n + k
+    ids_of = process_cache(("pieces", vocabulary.path), lambda: WordIds(vocabulary.encode_words, _WORDS_KEPT))
 
     def encode(texts: list[str]) -> list:
-        if len(known) > _WORDS_KEPT:
-            known.clear()
-            state.update(n=0, start=[], length=[])
-        split = [parts(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if new := {w for ws in split for w in ws if w not in known}:
-            learn(list(new))
-        start, length = np.array(state["start"], np.int64), np.array(state["length"], np.int64)
-        out = []
-        for ws in split:
-            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            n = length[at]
-            ends = np.cumsum(n)
-            ids = np.empty((int(ends[-1]) if len(ends) else 0) + 2, np.uint32)
-            ids[0], ids[-1] = vocabulary.bos, vocabulary.eos
-            ids[1:-1] = state["ids"][np.repeat(start[at] - (ends - n), n) + np.arange(len(ids) - 2)]
-            out.append(ids)
-        return out
+        found = ids_of([parts(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts])
+        return [np.concatenate([[vocabulary.bos], ids, [vocabulary.eos]]).astype(np.uint32) for ids in found]
 
     return encode
 
@@ -215,7 +189,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, check: bool
 
         import pyarrow as pa
 
-        vocabulary = MergeVocabulary(path)
+        vocabulary = process_cache(("vocabulary", path), lambda: MergeVocabulary(path))
         encode = encoder(vocabulary)
         for b in batches:
             texts = b.column(1).to_pylist()
