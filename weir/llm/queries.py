@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format
+from . import ann, chat_format, lm, quality
 from .common import small_batches, table
 from .exact_dedup import exact_dedup
 from .packing import pack, pieces
@@ -23,6 +23,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -45,6 +50,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_rid")
 
@@ -64,10 +74,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_chat_formatting": op10_chat_formatting,
