@@ -4,8 +4,8 @@ Encoding is a score-ordered agenda of adjacent symbol pairs: the pair whose join
 leftmost of equal ones, until no adjacent pair is a piece. No piece holds a space mark after another character, nor a line
 break, so a text's words are independent and a word is encoded once in a batch of a task. New words go through the agenda
 together, as arrays: words of one length are a matrix, and in each round every word that still has a pair makes its best merge.
-Long words use a heap. Characters outside the vocabulary become their bytes' pieces. Every Arrow batch is checked against the
-library's own ids; decoding is the library's.
+Long words use a heap. Characters outside the vocabulary become their bytes' pieces. The words that are
+new in an Arrow batch are checked against the library's own ids for a text of all of them; decoding is the library's.
 
 Defined results: a null text counts as empty; an empty text has the begin and end ids alone and decodes to the empty text;
 repeated rows give repeated results; an empty table gives an empty result; columns other than id and text are not looked at.
@@ -145,6 +145,15 @@ class MergeVocabulary:
                 out[k] = [i for s in done for i in self.ids[s]]
         return out
 
+    def checked(self, words: list[str]) -> list[list[int]]:
+        """encode_words, compared with the library's ids for one text that has all the words, a line each."""
+        found = self.encode_words(words)
+        mark, line = self.encode_words([SPACE, "\n"])
+        want = [*mark, *(i for ids in found for i in (*line, *ids))]
+        if want != self.model.encode("\n" + "\n".join(words).replace(SPACE, " ")):
+            raise ValueError("the agenda's ids differ from the library's")
+        return found
+
     def _with_others(self, word: str) -> list[int]:
         """A word with characters outside the vocabulary, which never merge."""
         ids, run = [], []
@@ -159,12 +168,12 @@ class MergeVocabulary:
         return ids
 
 
-def encoder(vocabulary: MergeVocabulary):
+def encoder(vocabulary: MergeVocabulary, check: bool = True):
     """A function of lists of texts; ids as arrays, begin and end ids included."""
     import numpy as np
 
     parts = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+").findall
-    ids_of = process_cache(("pieces", vocabulary.path), lambda: WordIds(vocabulary.encode_words, _WORDS_KEPT))
+    ids_of = process_cache(("pieces", vocabulary.path, check), lambda: WordIds(vocabulary.checked if check else vocabulary.encode_words, _WORDS_KEPT))
 
     def encode(texts: list[str]) -> list:
         found = ids_of([parts(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts])
@@ -190,13 +199,11 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, check: bool
         import pyarrow as pa
 
         vocabulary = process_cache(("vocabulary", path), lambda: MergeVocabulary(path))
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, check)
         for b in batches:
             texts = b.column(1).to_pylist()
             arrays = encode(texts)
             ids = [a.tolist() for a in arrays]
-            if check and ids != vocabulary.model.encode(texts, add_bos=True, add_eos=True, num_threads=1):
-                raise ValueError("the agenda's ids differ from the library's")
             said = vocabulary.model.decode(ids, num_threads=1)
             if digest:
                 columns = [pa.array(map(len, ids), pa.int64()), pa.array(sha256(a.astype("<u4").tobytes()).hexdigest() for a in arrays), pa.array(sha256(t.encode()).hexdigest() for t in said)]
