@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import fold, materialize, text_of, word_slices
 
 HOT, LONGEST, CONTEXTS, TARGETS, DIM = 200_000, 64, 510, 2047, 32
-SHARDS, ROUNDS, NOISE, STEP, RATE, SMOOTH = 12, 4, 256, 2048, 0.2, 0.1
-PASSES, LEAST_STEPS = 2, 100
+SHARDS, ROUNDS, NOISE, STEP, RATE, SMOOTH = 12, 3, 96, 2048, 0.25, 0.1
+PASSES, LEAST_STEPS = 1, 60
 FOLDS, HELD_OUT = 10, 0
 END = b""  # no word is empty
 _FLUSH = 250_000
