@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .packing import pack, pieces
 from .pieces import encode_digests
 from .simhash import near_duplicates
+from .suffix_dedup import removal_digests
 from .token_counts import section_counts
 
 
@@ -33,6 +34,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +82,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sentencepiece": op6_sentencepiece,
