@@ -131,3 +131,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = rooted.join(least, "_root").select("_fp", "component_id")
     return rows.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: wide fingerprints
+
+FINE_WORDS, SIMILARITY, WIDE, BANDS, BAND_BITS, BAND_CAP, REFERENCES = 5, 0.8, 16, 96, 20, 32, 16
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """The bits in which fingerprints of sets of this Jaccard similarity differ, and one and a half standard deviations more."""
+    from math import acos, pi, sqrt
+
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * p + 1.5 * sqrt(bits * p * (1 - p)))
+
+
+def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WORDS) -> DataFrame:
+    """The keys, _fp (WIDE words of 64 bits), _sig (a signature of each band), _far (distances to the reference fingerprints).
+
+    A band is a fixed choice of BAND_BITS bits; its signature is the table row of its distances to PIVOTS patterns."""
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rng = np.random.default_rng(11)
+        table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+        chosen = np.stack([rng.choice(64 * WIDE, BAND_BITS, replace=False) for _ in range(BANDS)])
+        patterns = rng.integers(0, 1 << BAND_BITS, PIVOTS)
+        references = rng.integers(0, 2, (REFERENCES, 64 * WIDE)).astype(bool)
+        place = (np.arange(8, dtype=np.uint16) << 8)[None]
+        for b in batches:
+            bits = np.zeros((b.num_rows, 64 * WIDE), bool)
+            for row, t in enumerate(b.column(len(keys)).cast(pa.binary()).to_pylist()):
+                counts, n = np.zeros((WIDE, 2048), np.int64), 0
+                for h in shingle_hashes(t, words):
+                    n += len(h)
+                    for k in range(WIDE):
+                        x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1)
+                        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                        x ^= x >> np.uint64(31)
+                        counts[k] += np.bincount((x.view(np.uint8).reshape(-1, 8) + place).ravel(), minlength=2048)
+                bits[row] = ((counts.reshape(-1, 256) @ table) * 2 > n).ravel()
+            value = bits[:, chosen] @ (1 << np.arange(BAND_BITS))
+            away = np.bitwise_count(value[:, :, None] ^ patterns).astype(np.int64)
+            sig = (away << (5 * np.arange(PIVOTS))).sum(2)
+            far = np.stack([(bits != r).sum(1) for r in references], 1).astype(np.int16) if b.num_rows else np.zeros((0, REFERENCES), np.int16)
+            fp = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+            def lists(m, kind):
+                return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel(), kind))
+
+            arrays = [*b.columns[: len(keys)], lists(fp, pa.int64()), lists(sig, pa.int64()), lists(far, pa.int16())]
+            yield pa.RecordBatch.from_arrays(arrays, [*keys, "_fp", "_sig", "_far"])
+
+    return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _fp array<bigint>, _sig array<bigint>, _far array<smallint>")
+
+
+def similar_links(fps: DataFrame, similarity: float = SIMILARITY, cap: int = BAND_CAP) -> DataFrame:
+    """fps: _n (long, distinct), _fp (distinct), _sig, _far. Pairs u, v of similar fingerprints.
+
+    Pairs share a band's signature. A bucket of more than `cap` is dealt, anew for each band, into parts of about `cap`; parts'
+    members are compared with each other and parts' firsts with the bucket's first, so large groups of near copies are joined
+    through the bands without all their pairs."""
+    limit, first_limit = most_bits(similarity, 64 * WIDE), most_bits(similarity, 64) + 6
+    rows = fps.select("_n", F.element_at("_fp", 1).alias("_w"), F.posexplode("_sig").alias("_t", "_g"))
+    sizes = rows.groupBy("_t", "_g").agg(F.count("*").alias("_m"), F.min("_n").alias("_first")).where("_m > 1")
+    met = rows.join(sizes, ["_t", "_g"]).withColumn("_p", F.expr(f"if(_m <= {cap}, 0L, pmod(xxhash64(_n, _t), ceil(_m / {cap})))"))
+    parts = met.groupBy("_t", "_g", "_p", "_first").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_w").alias("w")))).alias("_l"))
+    near = F.expr(f"flatten(transform(_l, (x, i) -> transform(filter(slice(_l, i + 2, size(_l)), y -> bit_count(x.w ^ y.w) <= {first_limit}), y -> struct(x.n as u, y.n as v))))")
+    pairs = parts.select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
+    firsts = parts.select(F.col("_first").alias("u"), F.expr("_l[0].n").alias("v")).where("u <> v")
+    pairs = materialize(pairs.unionByName(firsts).distinct(), "pairs")
+    a = fps.select(F.col("_n").alias("u"), F.col("_fp").alias("_fa"), F.col("_far").alias("_ra"))
+    b = fps.select(F.col("_n").alias("v"), F.col("_fp").alias("_fb"), F.col("_far").alias("_rb"))
+    both = pairs.join(a, "u").join(b, "v")
+    both = both.where(f"array_max(zip_with(_ra, _rb, (x, y) -> abs(int(x) - int(y)))) <= {limit}")
+    return both.where(f"aggregate(zip_with(_fa, _fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {limit}").select("u", "v")
+
+
+def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text", id_col: str = "doc_id", words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The keys, _group (a number) and kept: of each group of near copies the row with the smallest id (then smallest keys) stays.
+
+    keys name a row; texts with equal fingerprints are near copies of each other. A text without words is in no group."""
+    rows = docs.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.length(F.trim(F.regexp_replace(text_of("_t"), r"[\t\n\x0B\f\r]", " "))) > 0)
+    rows = materialize(wide_fingerprints(rows, [*keys, "_id"], "_t", words).withColumn("_n", F.monotonically_increasing_id()), "wide")
+    classes = materialize(rows.groupBy("_fp").agg(F.min("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_far").alias("_far")), "classes")
+    roots = components(similar_links(classes, similarity)).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
+    named = classes.select("_fp", "_n").join(roots, "_n", "left").select("_fp", F.coalesce("_root", "_n").alias("_group"))
+    rows = materialize(rows.drop("_sig", "_far").join(named, "_fp").drop("_fp"), "grouped")
+    least = rows.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_n").alias("n"))).alias("_k"))
+    return rows.join(least, "_group").select(*keys, "_group", (F.col("_n") == F.col("_k.n")).alias("kept"))
