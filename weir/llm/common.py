@@ -110,7 +110,7 @@ class WordIds:
     def _clear(self) -> None:
         np = self.np
         self.known = _Numbered()
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int32)
 
     def __call__(self, texts: list[list]) -> list:
         """An array of ids for each list of words."""
@@ -118,7 +118,7 @@ class WordIds:
         if len(self.known) > self.most:
             self._clear()
         number = self.known.__getitem__
-        at = [np.fromiter(map(number, words), np.int64, len(words)) for words in texts]
+        at = [np.fromiter(map(number, words), np.int32, len(words)) for words in texts]
         if new := self.known.new:
             from itertools import chain
 
@@ -128,7 +128,7 @@ class WordIds:
                 self._clear()
                 raise
             self.known.new = []
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + self.starts[-1]
+            ends = np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), dtype=np.int32) + self.starts[-1]
             more = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - self.starts[-1]))
             n = int(ends[-1])
             if n > len(self.ids):
@@ -139,6 +139,6 @@ class WordIds:
         for a in at:
             start = self.starts[a]
             size = self.starts[a + 1] - start
-            ends = np.cumsum(size)
-            out.append(self.ids[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)])
+            ends = np.cumsum(size, dtype=np.int32)
+            out.append(self.ids[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)])
         return out

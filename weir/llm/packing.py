@@ -23,7 +23,7 @@ from .common import WordIds, materialize, process_cache, text_of
 CAPACITY, GROUP, END_ID = 4096, 8192, 1
 #: First bytes of the UTF-8 of combining marks: where one may be, letters are not lower-cased ahead of the tokenizer.
 _MARKS = (b"\xcc", b"\xcd", b"\xe1\xaa", b"\xe1\xab", b"\xe1\xb7", b"\xe2\x83", b"\xef\xb8")
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 1_400_000
 
 
 def word_encoder(path: str) -> Callable[[list[bytes]], list]:
