@@ -45,6 +45,9 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at = rows.select("_rid", F.size("_hs").alias("_m"), F.posexplode("_hs").alias("_pos", "_h"))
     if shared.isEmpty():
         level = at.join(names, "_h").select("_rid", "_m", "_pos", "_name")
+    elif not row_id:  # a second pass over the texts needs numbers that a new scan can't change
+        numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_n"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "numbered")
+        return block_identities(numbered, "_id", "_t", block, "_n")
     else:
         shared = materialize(shared, "shared")
         odd = contents.join(shared, "_h", "left_semi")

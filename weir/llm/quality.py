@@ -134,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     return Space(x[order], y[order], {c: held[c] / max(1, int((y == c).sum())) for c in (0, 1)})
 
 
-def score(docs: DataFrame, space, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The id, the columns of `keep` and score (0 to 1) of every row."""
+def score(docs: DataFrame, space, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The id, the columns of `keep` and the score (0 to 1, in column `name`) of every row."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(space if isinstance(space, float) else vars(space))  # plain arrays: workers need not have this module
 
@@ -153,11 +153,11 @@ def score(docs: DataFrame, space, id_col: str = "doc_id", text_col: str = "text"
                 got = np.full(len(texts), constant)
             else:
                 got = model.scores(np.stack([terms(t) for t in texts])) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.clip(got, 0, 1).astype(np.float64))], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.clip(got, 0, 1).astype(np.float64))], [*b.schema.names[:-1], name])
 
     columns = list(dict.fromkeys([id_col, *(keep or [])]))
     rows = docs.select(*columns, text_of(text_col).alias("_w_text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", score double"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + f", `{name}` double"
     return rows.mapInArrow(each, schema)
 
 

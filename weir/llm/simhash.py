@@ -115,10 +115,12 @@ def links(fps: DataFrame, limit: int = LIMIT, cap: int = CAP) -> DataFrame:
     hot = met.where(f"_n > {cap}").select("_fp").distinct()
     if limit == 2:
         near = hot.select("_fp", F.explode(F.expr("concat(array(_fp), transform(sequence(0, 63), i -> _fp ^ shiftleft(1L, i)))")).alias("_at"))
-    else:  # one bit: the two meet at the value that has the bit cleared
-        near = hot.select("_fp", F.explode(F.expr("concat(array(_fp), transform(sequence(0, 63), i -> _fp & ~shiftleft(1L, i)))") if limit else F.array("_fp")).alias("_at"))
-    stars = near.groupBy("_at").agg(F.collect_set("_fp").alias("_l")).where("size(_l) > 1")
-    stars = stars.select(F.array_min("_l").alias("u"), F.explode("_l").alias("v")).where("u <> v").where(f"bit_count(u ^ v) <= {limit}")
+        stars = near.groupBy("_at").agg(F.collect_set("_fp").alias("_l")).where("size(_l) > 1").withColumn("_at", F.array_min("_l"))
+    else:  # one bit: the two meet at the value that has the bit cleared, which is one of them
+        bits = F.expr("concat(array(_fp), transform(sequence(0, 63), i -> _fp & ~shiftleft(1L, i)))") if limit else F.array("_fp")
+        near = hot.select("_fp", F.explode(bits).alias("_at"))
+        stars = near.groupBy("_at").agg(F.collect_set("_fp").alias("_l")).where("size(_l) > 1 and array_contains(_l, _at)")
+    stars = stars.select(F.col("_at").alias("u"), F.explode("_l").alias("v")).where("u <> v")
     return found.unionByName(stars)
 
 

@@ -210,13 +210,13 @@ RUNS = "_s1 long, _s2 long, _from array<int>, _to array<int>"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_k1, _k2 (128 bits that name a row by what it holds: the same in every pass, whatever the partitions), _id, _text."""
+    """_w_k1, _w_k2 (128 bits that name a row by what it holds: the same in every pass, whatever the partitions), _id, _text."""
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    return rows.select(F.xxhash64("_id", "_text").alias("_k1"), F.xxhash64("_text", F.lit(1), "_id").alias("_k2"), "_id", "_text")
+    return rows.select(F.xxhash64("_id", "_text").alias("_w_k1"), F.xxhash64("_text", F.lit(1), "_id").alias("_w_k2"), "_id", "_text")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, cap: int = CAP) -> DataFrame:
-    """_k1, _k2 (see keyed), _starts, _ends: the maximal byte spans to remove of each text that has any."""
+    """_w_k1, _w_k2 (see keyed), _w_starts, _w_ends: the maximal byte spans to remove of each text that has any."""
     rows = keyed(docs, id_col, text_col)
 
     def find(batches):
@@ -232,11 +232,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             number, g = number[order], g[order]
             new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (number[1:] != number[:-1])]))
             at = pa.array(number[new])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(g[new]), pa.array(np.diff(np.append(new, len(g))).astype(np.int32))], ["_k1", "_k2", "_g", "_n"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(g[new]), pa.array(np.diff(np.append(new, len(g))).astype(np.int32))], ["_w_k1", "_w_k2", "_g", "_n"])
 
-    found = materialize(rows.select("_k1", "_k2", "_text").mapInArrow(find, "_k1 long, _k2 long, _g long, _n int"), "anchors")
+    found = materialize(rows.select("_w_k1", "_w_k2", "_text").mapInArrow(find, "_w_k1 long, _w_k2 long, _g long, _n int"), "anchors")
     again = found.groupBy("_g").agg(F.sum("_n").alias("_m")).where("_m > 1").select("_g")
-    wanted = found.join(again, "_g").groupBy("_k1", "_k2").agg(F.collect_set("_g").alias("_gs"))
+    wanted = found.join(again, "_g").groupBy("_w_k1", "_w_k2").agg(F.collect_set("_g").alias("_gs"))
 
     def cut(batches):
         import numpy as np
@@ -258,13 +258,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             at = pa.array([k for k, _ in held], pa.int64())
             signed = lambda x: x - (1 << 64) if x >> 63 else x
             yield pa.RecordBatch.from_arrays(
-                [b.column("_k1").take(at), b.column("_k2").take(at), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([signed(h >> 64) for _, h in held], pa.int64()),
+                [b.column("_w_k1").take(at), b.column("_w_k2").take(at), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([signed(h >> 64) for _, h in held], pa.int64()),
                  pa.array([signed(h & ((1 << 64) - 1)) for _, h in held], pa.int64()), pa.array([v[1] for v in held.values()], pa.binary()), pa.array([v[2] for v in held.values()], pa.list_(pa.int64()))],
-                ["_k1", "_k2", "_g", "_s1", "_s2", "_snippet", "_at"],
+                ["_w_k1", "_w_k2", "_g", "_s1", "_s2", "_snippet", "_at"],
             )
 
-    texts = rows.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"])
-    cuts = materialize(texts.mapInArrow(cut, "_k1 long, _k2 long, _g long, _s1 long, _s2 long, _snippet binary, _at array<long>"), "cuts")
+    texts = rows.select("_w_k1", "_w_k2", "_text").join(wanted, ["_w_k1", "_w_k2"])
+    cuts = materialize(texts.mapInArrow(cut, "_w_k1 long, _w_k2 long, _g long, _s1 long, _s2 long, _snippet binary, _at array<long>"), "cuts")
     snippets = materialize(cuts.groupBy("_g", "_s1", "_s2", "_snippet").agg(F.sum(F.size("_at")).alias("_n")), "snippets")
     sizes = snippets.groupBy("_g").agg(F.sum(F.length("_snippet")).alias("_b"), F.count("*").alias("_m"))
     total = snippets.agg(F.coalesce(F.sum(F.length("_snippet")), F.lit(0))).first()[0]
@@ -313,10 +313,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         order = np.argsort(s, kind="stable")
         s, e = s[order], np.maximum.accumulate(e[order])
         new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
-        return pa.table({"_k1": [key[0].as_py()], "_k2": [key[1].as_py()], "_starts": pa.array([s[new].tolist()], pa.list_(pa.int64())), "_ends": pa.array([e[np.append(new[1:] - 1, len(e) - 1)].tolist()], pa.list_(pa.int64()))})
+        return pa.table({"_w_k1": [key[0].as_py()], "_w_k2": [key[1].as_py()], "_w_starts": pa.array([s[new].tolist()], pa.list_(pa.int64())), "_w_ends": pa.array([e[np.append(new[1:] - 1, len(e) - 1)].tolist()], pa.list_(pa.int64()))})
 
-    met = cuts.select("_k1", "_k2", "_s1", "_s2", "_at").join(marks, ["_s1", "_s2"]).select("_k1", "_k2", "_at", "_from", "_to")
-    return met.groupBy("_k1", "_k2").applyInArrow(join, "_k1 long, _k2 long, _starts array<long>, _ends array<long>")
+    met = cuts.select("_w_k1", "_w_k2", "_s1", "_s2", "_at").join(marks, ["_s1", "_s2"]).select("_w_k1", "_w_k2", "_at", "_from", "_to")
+    return met.groupBy("_w_k1", "_w_k2").applyInArrow(join, "_w_k1 long, _w_k2 long, _w_starts array<long>, _w_ends array<long>")
 
 
 def _by_hash(snippets: DataFrame, length: int) -> DataFrame:
@@ -343,7 +343,7 @@ def _by_hash(snippets: DataFrame, length: int) -> DataFrame:
 
 def _apply(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, schema: str, make) -> DataFrame:
     rows = keyed(docs, id_col, text_col)
-    return rows.join(spans, ["_k1", "_k2"], "left").select("_id", "_text", "_starts", "_ends").mapInArrow(make, f"_id {rows.schema['_id'].dataType.simpleString()}, {schema}")
+    return rows.join(spans, ["_w_k1", "_w_k2"], "left").select("_id", "_text", "_w_starts", "_w_ends").mapInArrow(make, f"_id {rows.schema['_id'].dataType.simpleString()}, {schema}")
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,8 +375,8 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     columns = docs.columns
     kind = docs.schema[text_col].dataType.simpleString()
     spans = repeated_spans(docs, length, id_col, text_col)
-    rows = docs.select(*[F.col(c) for c in columns], F.xxhash64(id_col, text_of(text_col)).alias("_k1"), F.xxhash64(text_of(text_col), F.lit(1), id_col).alias("_k2"))
-    met = rows.join(spans, ["_k1", "_k2"], "left").select(*columns, "_starts", "_ends")
+    rows = docs.select(*[F.col(c) for c in columns], F.xxhash64(id_col, text_of(text_col)).alias("_w_k1"), F.xxhash64(text_of(text_col), F.lit(1), id_col).alias("_w_k2"))
+    met = rows.join(spans, ["_w_k1", "_w_k2"], "left").select(*columns, "_w_starts", "_w_ends")
 
     def each(batches):
         import pyarrow as pa
