@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps the documents with a score of at least quality.THRESHOLD."""
     small_batches(spark)
     space = quality.fit(docs, table(spark, sf_dir, "labels"), fold("_id", quality.FOLDS) != quality.HELD_OUT)
-    scored = quality.score(docs, space, keep=docs.columns)
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.score(docs, space, keep=docs.columns, name="_w_score")
+    return scored.where(F.col("_w_score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +35,15 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_k1": F.xxhash64("doc_id", text_of()), "_k2": F.xxhash64(text_of(), F.lit(1), "doc_id")})
+    return docs.withColumns({"_w_k1": F.xxhash64("doc_id", text_of()), "_w_k2": F.xxhash64(text_of(), F.lit(1), "doc_id")})
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
     small_batches(spark)
     keyed = _keyed(docs)
-    gone = materialize(simhash.near_copies(keyed, ["_k1", "_k2"]).where("not kept").select("_k1", "_k2"), "gone")
-    return keyed.join(gone, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    gone = materialize(simhash.near_copies(keyed, ["_w_k1", "_w_k2"]).where("not kept").select("_w_k1", "_w_k2"), "gone")
+    return keyed.join(gone, ["_w_k1", "_w_k2"], "left_anti").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
