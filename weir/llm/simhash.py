@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by similarity: wide fingerprints
 
-FINE_WORDS, SIMILARITY, WIDE, BANDS, BAND_BITS, BAND_CAP, REFERENCES = 5, 0.8, 16, 96, 20, 32, 16
+FINE_WORDS, SIMILARITY, WIDE, BANDS, BAND_BITS, BAND_CAP, BAND_PART, REFERENCES = 5, 0.8, 16, 96, 20, 32, 8, 16
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -192,16 +192,16 @@ def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: in
     return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _fp array<bigint>, _sig array<bigint>, _far array<smallint>")
 
 
-def similar_links(fps: DataFrame, similarity: float = SIMILARITY, cap: int = BAND_CAP) -> DataFrame:
+def similar_links(fps: DataFrame, similarity: float = SIMILARITY, cap: int = BAND_CAP, part: int = BAND_PART) -> DataFrame:
     """fps: _n (long, distinct), _fp (distinct), _sig, _far. Pairs u, v of similar fingerprints.
 
-    Pairs share a band's signature. A bucket of more than `cap` is dealt, anew for each band, into parts of about `cap`; parts'
+    Pairs share a band's signature. A bucket of more than `cap` is dealt, anew for each band, into parts of about `part`; parts'
     members are compared with each other and parts' firsts with the bucket's first, so large groups of near copies are joined
     through the bands without all their pairs."""
     limit, first_limit = most_bits(similarity, 64 * WIDE), most_bits(similarity, 64) + 6
     rows = fps.select("_n", F.element_at("_fp", 1).alias("_w"), F.posexplode("_sig").alias("_t", "_g"))
     sizes = rows.groupBy("_t", "_g").agg(F.count("*").alias("_m"), F.min("_n").alias("_first")).where("_m > 1")
-    met = rows.join(sizes, ["_t", "_g"]).withColumn("_p", F.expr(f"if(_m <= {cap}, 0L, pmod(xxhash64(_n, _t), ceil(_m / {cap})))"))
+    met = rows.join(sizes, ["_t", "_g"]).withColumn("_p", F.expr(f"if(_m <= {cap}, 0L, pmod(xxhash64(_n, _t), ceil(_m / {part})))"))
     parts = met.groupBy("_t", "_g", "_p", "_first").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_w").alias("w")))).alias("_l"))
     near = F.expr(f"flatten(transform(_l, (x, i) -> transform(filter(slice(_l, i + 2, size(_l)), y -> bit_count(x.w ^ y.w) <= {first_limit}), y -> struct(x.n as u, y.n as v))))")
     pairs = parts.select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
