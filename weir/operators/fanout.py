@@ -61,17 +61,18 @@ class FanOut:
     def source(self, table: str) -> DataFrame:
         return self.load(table).good
 
-    def rejects(self) -> DataFrame:
-        """Lines that no table takes and rows that a table rejects: table, reason, record."""
+    def rejects(self, table: str | None = None) -> DataFrame:
+        """reason, record: the rows that one table rejects, or the lines that no table takes."""
+        if table:
+            return self.load(table).rejects
         parsed = self.parsed()
         if self.shape == "mixed":
-            out = ingest.mixed_rejects(parsed, self.specs)
-        else:
-            out = parsed.where(F.col(ingest.CORRUPT).isNotNull()).select(F.lit("not a record of this shape").alias("reason"), F.col(ingest.CORRUPT).alias("record"))
-        out = out.select(F.lit(None).cast("string").alias("table"), "reason", "record")
-        for t in self.specs:
-            out = out.unionByName(self.load(t).rejects.select(F.lit(t).alias("table"), "reason", "record"))
-        return out
+            return ingest.mixed_rejects(parsed, self.specs)
+        return parsed.where(F.col(ingest.CORRUPT).isNotNull()).select(F.lit("not a record of this shape").alias("reason"), F.col(ingest.CORRUPT).alias("record"))
+
+    def reject_counts(self) -> dict[str | None, int]:
+        """Rejects by table; None: lines that no table takes. A job each, on that table's columns of the stage."""
+        return {t: n for t in (None, *self.specs) if (n := self.rejects(t).count())}
 
     def apply(self, work: Callable[[str, DataFrame], object], parallel: int = 1) -> list[Applied]:
         """work(table, rows) for each table, at most `parallel` at a time, in the order of the specifications."""

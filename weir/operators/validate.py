@@ -71,4 +71,11 @@ def preflight(tables: dict[str, tuple[object, int]]) -> None:
 
 def differences(a: DataFrame, b: DataFrame) -> Iterable:
     """Rows of either that the other hasn't, for the report of a failed check."""
-    return a.exceptAll(b.select(*a.columns)).withColumn("_in", F.lit("first")).unionByName(b.select(*a.columns).exceptAll(a).withColumn("_in", F.lit("second"))).limit(20).collect()
+    conf, name = a.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # set operations over many computed columns: inferring constraints takes exponential time
+    try:
+        b = b.select(*a.columns)
+        return a.exceptAll(b).withColumn("_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("_in", F.lit("second"))).limit(20).collect()
+    finally:
+        conf.set(name, before)

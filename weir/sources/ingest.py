@@ -48,7 +48,8 @@ def reason(spec: TableSpec, columns: dict[str, Column] | None = None) -> Column:
     tests = [(of(c).isNull(), f"{c} is null") for c, _ in ENVELOPE]
     tests.append((~of("op_code").isin(*OPS), "op_code is unknown"))
     tests += [(F.length(of(c)) > n, f"{c} is too long") for c, t in spec.types.items() if (n := text_limit(t))]
-    return F.coalesce(*[F.when(test, F.lit(why)) for test, why in tests])
+    # the first of a list, not a chain of conditions: the optimizer would turn a filter on the chain inside out
+    return F.get(F.filter(F.array(*[F.when(test, F.lit(why)) for test, why in tests]), lambda why: why.isNotNull()), F.lit(0))
 
 
 def _split(flat: DataFrame, spec: TableSpec, record: Column) -> Load:

@@ -126,7 +126,11 @@ class TableSpec:
             if not isinstance(node, dict):
                 return node
             if all(k.isdigit() for k in node):
-                return F.array(*[build(node[k]) for k in sorted(node, key=int)])
+                items = [node[k] for k in sorted(node, key=int)]
+                if all(isinstance(i, dict) for i in items):  # occurrences may lack fields of others
+                    every = list(dict.fromkeys(k for i in items for k in i))
+                    items = [{k: i.get(k, F.lit(None)) for k in every} for i in items]
+                return F.array(*[build(i) for i in items])
             return F.struct(*[build(v).alias(k) for k, v in node.items()])
 
         return F.struct(*[col(c).alias(k) for k, c in HEADER]), build(tree)
