@@ -110,35 +110,37 @@ class WordIds:
     def _clear(self) -> None:
         np = self.np
         self.known = _Numbered()
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int32)
+        self.ids, self.starts, self.n = np.zeros(0, np.uint32), np.zeros(1024, np.int32), 0
 
     def __call__(self, texts: list[list]) -> list:
         """An array of ids for each list of words."""
+        from itertools import chain
+
         np = self.np
         if len(self.known) > self.most:
             self._clear()
-        number = self.known.__getitem__
-        at = [np.fromiter(map(number, words), np.int32, len(words)) for words in texts]
+        sizes = [len(words) for words in texts]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int32, sum(sizes))
         if new := self.known.new:
-            from itertools import chain
-
             try:
                 found = self.learn(new)
             except BaseException:
                 self._clear()
                 raise
             self.known.new = []
-            ends = np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), dtype=np.int32) + self.starts[-1]
-            more = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - self.starts[-1]))
+            last = int(self.starts[self.n])
+            ends = np.cumsum(np.fromiter(map(len, found), np.int32, len(found)), dtype=np.int32) + last
             n = int(ends[-1])
             if n > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.starts[-1]], np.zeros(max(n - int(self.starts[-1]), len(self.ids)), np.uint32)])
-            self.ids[self.starts[-1] : n] = more
-            self.starts = np.concatenate([self.starts, ends])
-        out = []
-        for a in at:
-            start = self.starts[a]
-            size = self.starts[a + 1] - start
-            ends = np.cumsum(size, dtype=np.int32)
-            out.append(self.ids[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)])
-        return out
+                self.ids = np.concatenate([self.ids[:last], np.zeros(max(n - last, len(self.ids)), np.uint32)])
+            self.ids[last:n] = np.fromiter(chain.from_iterable(found), np.uint32, n - last)
+            if self.n + len(ends) >= len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros(len(self.starts) + len(ends), np.int32)])
+            self.starts[self.n + 1 : self.n + 1 + len(ends)] = ends
+            self.n += len(ends)
+        start = self.starts[at]
+        size = self.starts[at + 1] - start
+        ends = np.cumsum(size, dtype=np.int64)
+        flat = self.ids[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]

@@ -26,17 +26,43 @@ _MARKS = (b"\xcc", b"\xcd", b"\xe1\xaa", b"\xe1\xab", b"\xe1\xb7", b"\xe2\x83",
 _WORDS_KEPT = 1_400_000
 
 
-def word_encoder(path: str) -> Callable[[list[bytes]], list]:
+def word_encoder(path: str, keep: int = _WORDS_KEPT) -> Callable[[list[bytes]], list]:
     """Texts to arrays of ids, for tokenizers that drop white space: a word between ASCII white space is encoded once and its
     ids are kept; lower-casing ahead only where it can't change what the tokenizer's own normalization gives."""
-    import os
+    def make() -> WordIds:
+        import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
-    from tokenizers import Tokenizer
+        import numpy as np
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    ids_of = process_cache(("words", path), lambda: WordIds(lambda words: [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)], _WORDS_KEPT))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+        def learn(words: list[bytes]) -> list:
+            """A word of letters is one unit and so has one last token: such words are encoded as one text and cut apart."""
+            texts = [w.decode() for w in words]
+            whole = [k for k, t in enumerate(texts) if t.isalpha()]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(texts[k] for k in whole)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) != len(whole):  # a letter whose lower case has a mark of its own
+                whole, cuts = [], cuts[:0]
+            found: list = [None] * len(words)
+            flat, last = ids.tolist(), 0
+            for k, cut in zip(whole, cuts.tolist()):
+                found[k] = flat[last:cut]
+                last = cut
+            rest = [k for k, f in enumerate(found) if f is None]
+            for k, e in zip(rest, tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+                found[k] = e.ids
+            return found
+
+        return WordIds(learn, keep)
+
+    ids_of = process_cache(("words", path, keep), make)
 
     def encode(texts: list[bytes]) -> list:
         return ids_of([(t if any(m in t for m in _MARKS) else t.lower()).split() for t in texts])
@@ -44,8 +70,8 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list]:
     return encode
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, piece, start, length, ids_crc32 of every piece of every text."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep: int = _WORDS_KEPT) -> DataFrame:
+    """_id, piece, start, length, ids_crc32 of every piece of every text. keep: words whose ids a worker remembers."""
 
     def each(batches):
         import zlib
@@ -53,7 +79,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         import numpy as np
         import pyarrow as pa
 
-        encode = word_encoder(path)
+        encode = word_encoder(path, keep)
         for b in batches:
             at, number, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(encode(b.column(1).cast(pa.binary()).to_pylist())):
