@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by similarity: wide fingerprints
 
-FINE_WORDS, SIMILARITY, WIDE, BANDS, BAND_BITS, BAND_CAP, BAND_PART, REFERENCES = 5, 0.8, 16, 96, 20, 32, 8, 16
+FINE_WORDS, SIMILARITY, WIDE, BANDS, FIRST_BANDS, BAND_BITS, BAND_PART, REFERENCES = 5, 0.8, 16, 96, 8, 22, 8, 16
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -192,21 +192,22 @@ def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: in
     return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _fp array<bigint>, _sig array<bigint>, _far array<smallint>")
 
 
-def similar_links(fps: DataFrame, similarity: float = SIMILARITY, cap: int = BAND_CAP, part: int = BAND_PART) -> DataFrame:
-    """fps: _n (long, distinct), _fp (distinct), _sig, _far. Pairs u, v of similar fingerprints.
-
-    Pairs share a band's signature. A bucket of more than `cap` is dealt, anew for each band, into parts of about `part`; parts'
-    members are compared with each other and parts' firsts with the bucket's first, so large groups of near copies are joined
-    through the bands without all their pairs."""
-    limit, first_limit = most_bits(similarity, 64 * WIDE), most_bits(similarity, 64) + 6
-    rows = fps.select("_n", F.element_at("_fp", 1).alias("_w"), F.posexplode("_sig").alias("_t", "_g"))
+def _band_pairs(rows: DataFrame, similarity: float, part: int) -> DataFrame:
+    """rows: _t, _g (a band and its signature), _n, _w (a number and the first 64 bits). Pairs u, v to verify: all of a bucket of
+    at most `part`; a larger one is dealt, anew for each band, into parts of about `part`, and parts' firsts meet the bucket's."""
+    first_limit = most_bits(similarity, 64) + 6
     sizes = rows.groupBy("_t", "_g").agg(F.count("*").alias("_m"), F.min("_n").alias("_first")).where("_m > 1")
-    met = rows.join(sizes, ["_t", "_g"]).withColumn("_p", F.expr(f"if(_m <= {cap}, 0L, pmod(xxhash64(_n, _t), ceil(_m / {part})))"))
+    met = rows.join(sizes, ["_t", "_g"]).withColumn("_p", F.expr(f"if(_m <= {part}, 0L, pmod(xxhash64(_n, _t), ceil(_m / {part})))"))
     parts = met.groupBy("_t", "_g", "_p", "_first").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_w").alias("w")))).alias("_l"))
     near = F.expr(f"flatten(transform(_l, (x, i) -> transform(filter(slice(_l, i + 2, size(_l)), y -> bit_count(x.w ^ y.w) <= {first_limit}), y -> struct(x.n as u, y.n as v))))")
     pairs = parts.select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
     firsts = parts.select(F.col("_first").alias("u"), F.expr("_l[0].n").alias("v")).where("u <> v")
-    pairs = materialize(pairs.unionByName(firsts).distinct(), "pairs")
+    return materialize(pairs.unionByName(firsts).distinct(), "pairs")
+
+
+def _verified(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that no reference fingerprint tells apart and whose fingerprints differ in few enough bits."""
+    limit = most_bits(similarity, 64 * WIDE)
     a = fps.select(F.col("_n").alias("u"), F.col("_fp").alias("_fa"), F.col("_far").alias("_ra"))
     b = fps.select(F.col("_n").alias("v"), F.col("_fp").alias("_fb"), F.col("_far").alias("_rb"))
     both = pairs.join(a, "u").join(b, "v")
@@ -214,6 +215,21 @@ def similar_links(fps: DataFrame, similarity: float = SIMILARITY, cap: int = BAN
     return both.where(f"aggregate(zip_with(_fa, _fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {limit}").select("u", "v")
 
 
+def similar_groups(fps: DataFrame, similarity: float = SIMILARITY, part: int = BAND_PART) -> DataFrame:
+    """fps: _n (long, distinct), _fp (distinct), _sig, _far. u, v: components of similar fingerprints (see components).
+
+    Candidates share a band's signature. The first bands join what is dense; for the other bands a bucket has one member of each
+    component so far, so that a large group of near copies is joined through its parts and never as all of its pairs."""
+    rows = fps.select("_n", F.element_at("_fp", 1).alias("_w"), F.posexplode("_sig").alias("_t", "_g"))
+    links = materialize(_verified(_band_pairs(rows.where(f"_t < {FIRST_BANDS}"), similarity, part), fps, similarity), "links")
+    roots = components(links).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
+    rooted = fps.join(roots, "_n", "left").withColumn("_root", F.coalesce("_root", "_n"))
+    rows = rooted.select("_n", "_root", F.element_at("_fp", 1).alias("_w"), F.posexplode("_sig").alias("_t", "_g")).where(f"_t >= {FIRST_BANDS}")
+    one = rows.groupBy("_t", "_g", "_root").agg(F.min(F.struct("_n", "_w")).alias("_o")).select("_t", "_g", "_o._n", "_o._w")
+    more = _verified(_band_pairs(one, similarity, part), fps, similarity)
+    return components(links.unionByName(more))
+
+
 def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text", id_col: str = "doc_id", words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The keys, _group (a number) and kept: of each group of near copies the row with the smallest id (then smallest keys) stays.
 
@@ -221,7 +237,7 @@ def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text", id_col
     rows = docs.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.length(F.trim(F.regexp_replace(text_of("_t"), r"[\t\n\x0B\f\r]", " "))) > 0)
     rows = materialize(wide_fingerprints(rows, [*keys, "_id"], "_t", words).withColumn("_n", F.monotonically_increasing_id()), "wide")
     classes = materialize(rows.groupBy("_fp").agg(F.min("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_far").alias("_far")), "classes")
-    roots = components(similar_links(classes, similarity)).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
+    roots = similar_groups(classes, similarity).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
     named = classes.select("_fp", "_n").join(roots, "_n", "left").select("_fp", F.coalesce("_root", "_n").alias("_group"))
     rows = materialize(rows.drop("_sig", "_far").join(named, "_fp").drop("_fp"), "grouped")
     least = rows.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_n").alias("n"))).alias("_k"))
