@@ -17,6 +17,8 @@ from weir.llm.queries import tokenizer
 
 #: A passage is repeated from this many bytes on: some 30 words, so that passages of 50 words are caught with their edges.
 PASSAGE = 200
+#: Words whose ids a worker remembers; workers live through all stages and share their memory with the others.
+WORDS_KEPT = 300_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     small_batches(spark)
-    return packing.pack(packing.pieces(docs, tokenizer("word_bpe_49k.json"))).withColumnRenamed("_id", "doc_id")
+    return packing.pack(packing.pieces(docs, tokenizer("word_bpe_49k.json"), keep=WORDS_KEPT)).withColumnRenamed("_id", "doc_id")
 
 
 STAGES = [
