@@ -30,7 +30,7 @@ from .common import materialize, text_of
 
 LENGTH, GRAM = 400, 32
 BUCKET, CAP = 512 << 10, 1 << 20
-_PART = 4 << 20  # bytes that are looked at together
+_PART = 1 << 20  # bytes that are looked at together: a dozen arrays of eight bytes for each
 
 
 def _words8(buf: bytes, n: int, order: str):
@@ -83,7 +83,7 @@ def anchors(texts: list[bytes], length: int):
     for k, t in enumerate(texts):
         if len(t) < length:
             continue
-        step = 2 * _PART
+        step = _PART
         for p in range(0, max(1, len(t) - length + 1), step):  # a huge text comes in pieces that share length - 1 bytes
             piece = t[p : p + step + length - 1]
             if size + len(piece) > _PART and part:
