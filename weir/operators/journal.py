@@ -1,7 +1,8 @@
 """Upsert by an append-only journal: every version of a row is kept, the newest one a key is the current row.
 
-The newest-of-a-batch runs are kept beside the journal: the newest of all versions is the newest of those, so the current view reads
-far less than the history, and compaction replaces runs by one. Ties of change_ts go to the larger batch, then to a hash of the row.
+Beside the journal there is a list of runs that hold every key's newest version. A load adds its files to both lists and writes them
+once; refresh() replaces the runs by one of newest versions, after which the current view reads far less than the history. Ties of
+change_ts go to the larger batch, then to a hash of the row.
 """
 
 from __future__ import annotations
@@ -34,13 +35,19 @@ class JournalTable:
 
     def create(self, base: DataFrame | None = None) -> JournalTable:
         self.journal.create(base)
-        self.runs.create(newest(base, self.spec.key) if base is not None else None)
+        m = self.journal.manifest()
+        self.runs.publish(m | {"version": 0})
         return self
 
     def append(self, delta: DataFrame) -> None:
         """Insert, update and delete alike: versions are added."""
-        self.journal.append(delta)
-        self.runs.append(newest(delta, self.spec.key))
+        m = self.journal.manifest()
+        written = self.journal.write_data(delta, m["version"] + 1)
+        for table in (self.journal, self.runs):
+            m = table.manifest()
+            for p, es in written.items():
+                m["parts"].setdefault(p, []).extend(es)
+            table.publish(m)
 
     def versions(self, k: int = 1, parts: list[int] | None = None) -> DataFrame:
         """The k newest versions a key, tombstones included; for k = 1 from the kept runs."""

@@ -26,15 +26,16 @@ def effects(target: DataFrame, delta: DataFrame, key: str = "isn") -> DataFrame:
     return met.agg(F.count("_hit").alias("n_updated"), (F.count("*") - F.count("_hit")).alias("n_inserted"))
 
 
-def apply_merge(table: ManifestTable, delta: DataFrame, how: str = "vectors", dedup: bool = False, guard_ts: bool = False) -> int:
-    """Apply a batch; the new version."""
+def apply_merge(table: ManifestTable, delta: DataFrame, how: str = "vectors", dedup: bool = False, guard_ts: bool = False, exact: bool = False) -> int:
+    """Apply a batch; the new version. exact: only keys that the table has get into the vector, which takes a scan of its keys;
+    others in it do no harm."""
     key = table.spec.key
     delta = compacted(delta, table.spec, dedup)
     if guard_ts:
         delta = guarded(delta, table.read(), table.spec)
     if how == "vectors":
-        matched = delta.select(key).join(table.read().select(key), key, "left_semi")
-        return table.delete_and_append(matched, delta)
+        keys = delta.select(key)
+        return table.delete_and_append(keys.join(table.read().select(key), key, "left_semi") if exact else keys, delta)
     if how == "copy":
         m = table.manifest()
         hit = table.read().join(delta.select(key), key, "left_semi").select(part_of().alias("p"))

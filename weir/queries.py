@@ -211,7 +211,8 @@ def merge_updates_vs_inserts(spark, sf):
 
 
 def merge_delete_vectors(spark, sf):
-    t = _merged(spark, sf, "vectors")
+    t = _keyed(spark, sf)
+    merge.apply_merge(t, changes(spark, sf), exact=True)
     paths = [p for p, _ in t.manifest()["deletes"]]
     return spark.read.parquet(*paths).agg(F.count("*").alias("n_deleted"))
 
