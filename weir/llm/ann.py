@@ -2,10 +2,12 @@
 exact reranking.
 
 The index is fitted on a bounded sample (`SAMPLE` vectors, those with the smallest hash of their id) and covers every vector.
-A list is stored as cells of at most about `CELL` vectors, so a list that holds a third of all vectors is many rows, dealt over
-tasks. A query probes its `probes` nearest lists: queries and cells meet in an equi-join on the list, and each met cell is
-scanned with the query's distance table. The best `rerank` candidates of a query are measured exactly, in double precision, on
-the original vectors. Only centroids and codebooks are broadcast; their size is fixed by LISTS, PARTS and CODES.
+How many lists a query probes is measured: so many that `COVERAGE` of the neighbours that the sample's vectors have in the sample lie
+in them. A list is stored as cells of at most about `CELL` vectors, so a list that holds a third of all vectors is many rows, dealt
+over tasks; the queries of a list are packed likewise. Queries and cells meet in an equi-join on the list; a met cell is scanned with
+the queries' distance tables. What is farther than a radius that the sample gives is left out (the nearest lists' best stay in any
+case), the best `rerank` candidates of a query are measured exactly, in double precision, on the original vectors. Only centroids,
+codebooks and sample are broadcast; their size is fixed by LISTS, PARTS, CODES and SAMPLE.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 rows that repeat an id count once (the smallest vector stays); ties go to the smaller id; fewer candidates than k: all that were
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE, LISTS, PARTS, CODES, CELL = 16384, 1024, 16, 256, 4096
-PROBES, RERANK, K = 48, 200, 10
+COVERAGE, RERANK, K, PACK, SURE = 0.97, 400, 10, 64, 4
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -58,7 +60,16 @@ def fit(sample: np.ndarray, n_rows: int, lists: int = LISTS, parts: int = PARTS,
     near = np.concatenate([squared(sample[i : i + 4096], coarse).argmin(1) for i in range(0, len(sample), 4096)])
     rest = (sample - coarse[near]).reshape(len(sample), parts, -1)
     books = [kmeans(np.ascontiguousarray(rest[:, p]), codes, 6, 2 + p) for p in range(parts)]
-    return {"coarse": coarse, "books": books, "parts": parts}
+    # the lists, in order of distance, in which the sample's neighbours lie: what share of them how many lists cover
+    some = np.unique(sample, axis=0)
+    asked = some[np.linspace(0, len(some) - 1, min(512, len(some))).astype(int)]
+    d = squared(asked, some)
+    close = np.argsort(d, 1)[:, 1 : K + 1]
+    place = squared(asked, coarse).argsort(1).argsort(1)
+    of = np.concatenate([squared(some[i : i + 4096], coarse).argmin(1) for i in range(0, len(some), 4096)])
+    ranks = np.take_along_axis(place, of[close], 1).ravel() if close.size else np.zeros(1)
+    probes = int(np.quantile(ranks, COVERAGE)) + 1
+    return {"coarse": coarse, "books": books, "parts": parts, "probes": probes, "sample": some, "rank": max(K, int(2 * RERANK * len(sample) / max(1, n_rows)))}
 
 
 def _matrix(column) -> np.ndarray:
@@ -85,23 +96,29 @@ def encode(vectors: DataFrame, index) -> DataFrame:
     return vectors.mapInArrow(each, "_id long, _list int, _code binary")
 
 
-def cells(codes: DataFrame, cell: int = CELL) -> DataFrame:
-    """_list, _ids, _codes: at most about `cell` vectors a row."""
-    sizes = codes.groupBy("_list").count().select("_list", F.ceil(F.col("count") / cell).cast("int").alias("_n"))
-    dealt = codes.join(sizes, "_list").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_n")))
+def packed(df: DataFrame, most: int, key: str, names: list[str], kinds: list[str]) -> DataFrame:
+    """Rows of one _list packed by at most about `most`: _list and a binary column for each name, in order of `key`."""
+    sizes = df.groupBy("_list").count().select("_list", F.ceil(F.col("count") / most).cast("int").alias("_n"))
+    dealt = df.join(sizes, "_list").withColumn("_part", F.pmod(F.xxhash64(key), F.col("_n")))
 
-    def packed(key, t):
+    def each(group, t):
         import pyarrow as pa
 
-        ids = t.column("_id").to_numpy()
-        order = np.argsort(ids)
-        code = b"".join(t.column("_code").take(pa.array(order)).to_pylist())
-        return pa.table({"_list": pa.array([key[0].as_py()], pa.int32()), "_ids": [ids[order].astype("<i8").tobytes()], "_codes": [code]})
+        order = pa.array(np.argsort(t.column(key).to_numpy()))
+        out = {"_list": pa.array([group[0].as_py()], pa.int32())}
+        for name, kind in zip(names, kinds):
+            c = t.column(name).take(order).combine_chunks()
+            if kind == "bytes":
+                data = b"".join(c.to_pylist())
+            else:
+                data = (c.flatten() if pa.types.is_list(c.type) else c).to_numpy(zero_copy_only=False).astype(kind).tobytes()
+            out[name] = pa.array([data], pa.binary())
+        return pa.table(out)
 
-    return dealt.groupBy("_list", "_part").applyInArrow(packed, "_list int, _ids binary, _codes binary")
+    return dealt.groupBy("_list", "_part").applyInArrow(each, "_list int, " + ", ".join(f"{n} binary" for n in names))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """vectors, queries: _id, _v (see clean). query_id, rank, vec_id, score of each query's k nearest; a vector of the query's
     own id is no candidate."""
     spark = vectors.sparkSession
@@ -117,15 +134,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
     def probe(batches):
         import pyarrow as pa
 
-        coarse = index.value["coarse"]
-        n = min(probes, len(coarse))
+        coarse, near_sample, rank = index.value["coarse"], index.value["sample"], index.value["rank"]
+        n = min(probes or index.value["probes"], len(coarse))
         for b in batches:
             if not b.num_rows:
                 continue
-            d = squared(_matrix(b.column(1)), coarse)
-            near = np.argpartition(d, n - 1, axis=1)[:, :n]
-            row = np.repeat(np.arange(b.num_rows), n)
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["_list", "_q", "_qv"])
+            x = _matrix(b.column(1))
+            d = np.sort(squared(x, near_sample), 1)
+            radius = d[:, min(rank, d.shape[1] - 1)] * 1.2  # codes blur distances
+            near = squared(x, coarse).argsort(1, kind="stable")[:, :n]
+            row = pa.array(np.repeat(np.arange(b.num_rows), n))
+            order = np.tile(np.arange(n, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), b.column(0).take(row), b.column(1).take(row), pa.array(np.repeat(radius, n), pa.float32()), pa.array(order)], ["_list", "_q", "_qv", "_radius", "_order"])
 
     def scan(batches):
         import pyarrow as pa
@@ -133,23 +153,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
         coarse, books, parts = index.value["coarse"], index.value["books"], index.value["parts"]
         for b in batches:
             qs, ids, ds = [], [], []
-            lists, own = b.column("_list").to_numpy(), b.column("_q").to_numpy()
-            x = _matrix(b.column("_qv")) if b.num_rows else None
-            for i, (a, c) in enumerate(zip(b.column("_ids").to_pylist(), b.column("_codes").to_pylist())):
-                rest = (x[i] - coarse[lists[i]]).reshape(parts, -1)
-                code = np.frombuffer(c, np.uint8).reshape(-1, parts)
-                vec = np.frombuffer(a, "<i8")
-                d = np.zeros(len(vec), np.float32)
+            column = lambda c: b.column(c).to_pylist()
+            for l, q, qv, radius, place, a, c in zip(column("_list"), column("_q"), column("_qv"), column("_radius"), column("_order"), column("_ids"), column("_codes")):
+                q, radius, place = np.frombuffer(q, "<i8"), np.frombuffer(radius, "<f4"), np.frombuffer(place, "<i4")
+                rest = (np.frombuffer(qv, "<f4").reshape(len(q), -1) - coarse[l]).reshape(len(q), parts, -1)
+                code, vec = np.frombuffer(c, np.uint8).reshape(-1, parts), np.frombuffer(a, "<i8")
+                d = np.zeros((len(q), len(vec)), np.float32)
                 for p in range(parts):
-                    d += ((books[p] - rest[p]) ** 2).sum(1)[code[:, p]]
-                order = np.lexsort((vec, d))[: rerank + 1]
-                order = order[vec[order] != own[i]][:rerank]
-                qs.append(np.full(len(order), own[i])), ids.append(vec[order]), ds.append(d[order])
+                    d += squared(rest[:, p], books[p])[:, code[:, p]]
+                d[q[:, None] == vec[None]] = np.inf
+                good = d <= radius[:, None]
+                sure = np.flatnonzero(place < SURE)
+                good[sure[:, None], d[sure].argsort(1, kind="stable")[:, :k]] = True
+                good &= np.isfinite(d)
+                i, j = np.nonzero(good)
+                dist = d[i, j]
+                if len(i) > rerank:  # the best of each query are enough; ties go to the smaller id
+                    order = np.lexsort((vec[j], dist, i))
+                    i, j, dist = i[order], j[order], dist[order]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < rerank
+                    i, j, dist = i[keep], j[keep], dist[keep]
+                qs.append(q[i]), ids.append(vec[j]), ds.append(dist)
             if qs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (qs, ids, ds)], ["_q", "_id", "_d"])
 
-    stored = materialize(cells(encode(vectors, index)), "cells")
-    asked = queries.mapInArrow(probe, "_list int, _q long, _qv array<float>")
+    stored = materialize(packed(encode(vectors, index), CELL, "_id", ["_id", "_code"], ["<i8", "bytes"]).withColumnsRenamed({"_id": "_ids", "_code": "_codes"}), "cells")
+    asked = queries.mapInArrow(probe, "_list int, _q long, _qv array<float>, _radius float, _order int")
+    asked = materialize(packed(asked, PACK, "_q", ["_q", "_qv", "_radius", "_order"], ["<i8", "<f4", "<f4", "<i4"]), "asked")
     met = asked.join(stored, "_list").mapInArrow(scan, "_q long, _id long, _d float")
     first = Window.partitionBy("_q").orderBy("_d", "_id")
     found = met.withColumn("_r", F.row_number().over(first)).where(f"_r <= {rerank}").select("_q", "_id")
