@@ -44,3 +44,12 @@ def test_empty_tables(spark, tmp_path):
 def test_nulls_and_ties_pass(spark, tmp_path):
     sf = build(tmp_path, documents(spark), spark.createDataFrame([(1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_repeated_rows_leave_one(spark, tmp_path):
+    rows = [(1, words(200, 1)), (1, words(200, 1)), (2, words(200, 2)), (3, ""), (3, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in near) == ["1", "2", "3", "3", "None"]
+    exact = corpus_pipeline.exact_dedup_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in exact) == ["1", "2", "3"]
