@@ -36,6 +36,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return numbered.join(gone, "_w_row", "left_anti").select(*docs.columns)
 
 
+KEYS = ["_w_k1", "_w_k2"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_w_k1": F.xxhash64("doc_id", text_of()), "_w_k2": F.xxhash64(text_of(), F.lit(1), "doc_id")})
 
@@ -44,8 +47,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
     small_batches(spark)
     keyed = _keyed(docs)
-    gone = materialize(simhash.near_copies(keyed, ["_w_k1", "_w_k2"]).where("not kept").select("_w_k1", "_w_k2"), "gone")
-    return keyed.join(gone, ["_w_k1", "_w_k2"], "left_anti").select(*docs.columns)
+    decided = materialize(simhash.near_copies(keyed, KEYS), "decided").groupBy(*KEYS).agg(F.max("kept").alias("_any"), F.count("*").alias("_rows"))
+    kept = keyed.join(decided.where("not _any").select(*KEYS), KEYS, "left_anti")
+    repeated = decided.where("_any and _rows > 1").select(*KEYS)
+    if not repeated.isEmpty():  # rows repeated in full have one key
+        repeated = materialize(repeated, "repeated")
+        kept = kept.join(repeated, KEYS, "left_anti").unionByName(kept.join(repeated, KEYS, "left_semi").dropDuplicates(KEYS))
+    return kept.select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
