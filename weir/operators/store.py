@@ -109,6 +109,16 @@ class ManifestTable:
             rows = rows.join(gone.withColumnRenamed(self.spec.key, "_k"), (F.col(self.spec.key) == F.col("_k")) & (F.col("_seq") < F.col("_until")), "left_anti")
         return rows.drop("_seq")
 
+    def view(self, name: str, parts: list[int] | None = None) -> DataFrame:
+        """The present rows as a view of that name; a later version needs a new view."""
+        df = self.read(parts)
+        df.createOrReplaceTempView(name)
+        return df
+
+    def like(self, path: str) -> ManifestTable:
+        """An empty table of the same specification."""
+        return ManifestTable(self.spark, path, self.spec).create()
+
     def parts(self) -> list[int]:
         return sorted(int(p) for p, es in self.manifest()["parts"].items() if es)
 

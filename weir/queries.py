@@ -319,6 +319,22 @@ def link_and_drop(spark, sf):
     return t.read().select(*OUT)
 
 
+def view_scan(spark, sf):
+    """SQL over a view of the merged table: a derived table, a scalar subquery in WHERE and two in SELECT."""
+    _merged(spark, sf, "vectors").view("weir_orders")
+    return spark.sql("""
+        SELECT city, count(*) AS n, (SELECT count(*) FROM weir_orders) AS n_rows, (SELECT count(*) FROM weir_orders WHERE batch_id = 1) AS batch_rows
+        FROM (SELECT * FROM weir_orders WHERE op_code <> 'D') cur WHERE amount > (SELECT max(amount) / 2 FROM weir_orders) GROUP BY city""")
+
+
+def insert_values(spark, sf):
+    """A table like another, filled by appended rows and by rows of a query."""
+    t = _keyed(spark, sf).like(work_path(spark, "like"))
+    t.append(spark.createDataFrame([(10**6 + k, "I", None, 0, None, k, None, "X", None) for k in range(3)], ORD.flat_schema(False)).withColumns({"created_date": F.lit("2001-01-05").cast("date"), "change_ts": F.lit("2001-01-05").cast("timestamp_ntz")}))
+    t.append(base(spark, sf).where("isn < 100"))
+    return t.read().groupBy("city").agg(F.count("*").alias("n"), F.max("isn").alias("last"))
+
+
 # Checks
 
 def fingerprint_md5(spark, sf):
@@ -421,7 +437,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         upsert_current, cdc_json_flatten, cdc_json_rejects, json_events_props, csv_load, journal_history, journal_compact, stream_upsert, topk_events_latest, topk_k3, dedup_batch, swap_touched, swap_isn_range, swap_rebuild,
         swap_current, swap_gap_partitions, merge_current, merge_mor_read, merge_with_tombstones, merge_compacted, merge_updates_vs_inserts, merge_delete_vectors, late_change_upsert, late_change_merge, late_change_guarded,
-        fanout_rejects, doc_slots_two, unbounded_arrays, clone_isolated, link_and_drop, fingerprint_md5, batch_check, check_from, cross_method_fp, partition_plan_query, number_table, generated_base, generated_changes, hot_window_perm,
+        fanout_rejects, doc_slots_two, unbounded_arrays, clone_isolated, link_and_drop, view_scan, insert_values, fingerprint_md5, batch_check, check_from, cross_method_fp, partition_plan_query, number_table, generated_base, generated_changes, hot_window_perm,
         storage_summary, report_avg_ratio, report_pivot, scalar_functions, predicates,
     )
 } | {f"fanout_{shape}_{n}": _fanned(shape, n) for shape in ("mixed", "docs") for n in THREE}
@@ -516,6 +532,8 @@ SQL: dict[str, str] = {
     "unbounded_arrays": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role, turn FROM conversations",
     "clone_isolated": f"WITH {_BASE} SELECT {_COLS} FROM base",
     "link_and_drop": f"WITH {_BASE} SELECT {_COLS} FROM base WHERE {_PART} >= 200001 AND {_PART} <> 200003",
+    "view_scan": f"{_WITH}, t AS ({_TOMBS.removeprefix(_WITH)}) SELECT city, count(*) AS n, (SELECT count(*) FROM t) AS n_rows, (SELECT count(*) FROM t WHERE batch_id = 1) AS batch_rows FROM (SELECT * FROM t WHERE op_code <> 'D') WHERE amount > (SELECT max(amount) / 2 FROM t) GROUP BY city",
+    "insert_values": f"WITH {_BASE} SELECT city, count(*) AS n, max(isn) AS last FROM (SELECT isn, city FROM base WHERE isn < 100 UNION ALL SELECT 1000000 + range, 'X' FROM range(3)) GROUP BY city",
     "fingerprint_md5": "SELECT count(*) AS n_rows, " + _md5({"a": "o_orderkey", "b": "o_custkey", "c": "o_orderstatus", "d": "CAST(o_totalprice AS DECIMAL(15,2))", "e": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')", "f": "o_orderpriority"}) + " AS checksum FROM orders",
     "batch_check": f"{_WITH}, t AS ({_TOMBS.removeprefix(_WITH)}) SELECT (SELECT count(*) FROM t) AS n_rows, (SELECT count(*) FROM t WHERE batch_id = 1) AS batch_rows, (SELECT {_md5(_columns(OUT))} FROM t WHERE batch_id = 1) AS target_checksum, (SELECT {_md5(_columns(OUT))} FROM chg) AS source_checksum",
     "check_from": f"{_WITH} SELECT min(isn) AS check_from FROM base WHERE created_date >= (SELECT date_trunc('month', min(created_date)) FROM chg)",
@@ -524,7 +542,7 @@ SQL: dict[str, str] = {
     "number_table": "SELECT count(*) AS n_rows, min(a.range * 1000 + b.range + 1) AS first, max(a.range * 1000 + b.range + 1) AS last, CAST(sum(a.range * 1000 + b.range + 1) AS BIGINT) AS total FROM range(1000) a, range(1000) b",
     "generated_base": _generated_sql(),
     "generated_changes": _generated_changes_sql(),
-    "hot_window_perm": "SELECT CAST(1000 AS BIGINT) AS n_distinct, CAST(19001 AS BIGINT) AS first, CAST(20000 AS BIGINT) AS last",
+    "hot_window_perm": "SELECT count(DISTINCT isn) AS n_distinct, min(isn) AS first, max(isn) AS last FROM (SELECT {0} + range * {2} % {1} AS isn FROM range({1}))".format(*generate.hot_window(ROWS)),
     "storage_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(15,2))), 0) AS DECIMAL(25,2)) AS total FROM lineitem GROUP BY 1, 2",
     "report_avg_ratio": f"""WITH r(run, method, load_ms, apply_ms, changes) AS (VALUES {', '.join(map(str, RUNS))}), a AS (SELECT method, count(*) AS runs, avg(load_ms) AS l, avg(apply_ms) AS p, avg(load_ms + apply_ms) AS t FROM r GROUP BY 1)
         SELECT method, runs, CAST(l AS DECIMAL(12,3)) AS load_ms, CAST(p AS DECIMAL(12,3)) AS apply_ms, CAST(t AS DECIMAL(12,3)) AS total_ms, CAST(CAST(t AS DOUBLE) / CAST((SELECT min(t) FROM a) AS DOUBLE) AS DECIMAL(8,4)) AS ratio FROM a""",
