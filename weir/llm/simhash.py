@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by similarity: wide fingerprints
 
-FINE_WORDS, SIMILARITY, WIDE, BANDS, FIRST_BANDS, BAND_BITS, BAND_PART, REFERENCES = 5, 0.8, 16, 96, 8, 22, 8, 16
+FINE_WORDS, SIMILARITY, WIDE, BANDS, FIRST_BANDS, BAND_BITS, BAND_PIVOTS, BAND_PART, REFERENCES = 5, 0.8, 16, 96, 8, 22, 24, 8, 16
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -151,7 +151,7 @@ def most_bits(similarity: float, bits: int) -> int:
 def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WORDS) -> DataFrame:
     """The keys, _fp (WIDE words of 64 bits), _sig (a signature of each band), _far (distances to the reference fingerprints).
 
-    A band is a fixed choice of BAND_BITS bits; its signature is the table row of its distances to PIVOTS patterns."""
+    A band is a fixed choice of BAND_BITS bits; its signature names the table row of its distances to BAND_PIVOTS patterns."""
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def each(batches):
@@ -161,7 +161,8 @@ def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: in
         rng = np.random.default_rng(11)
         table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
         chosen = np.stack([rng.choice(64 * WIDE, BAND_BITS, replace=False) for _ in range(BANDS)])
-        patterns = rng.integers(0, 1 << BAND_BITS, PIVOTS)
+        patterns = rng.integers(0, 1 << BAND_BITS, BAND_PIVOTS)
+        factors = rng.integers(-(1 << 63), (1 << 63) - 1, (BANDS, BAND_PIVOTS)) | 1
         references = rng.integers(0, 2, (REFERENCES, 64 * WIDE)).astype(bool)
         place = (np.arange(8, dtype=np.uint16) << 8)[None]
         for b in batches:
@@ -179,7 +180,7 @@ def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: in
                 bits[row] = ((counts.reshape(-1, 256) @ table) * 2 > n).ravel()
             value = bits[:, chosen] @ (1 << np.arange(BAND_BITS))
             away = np.bitwise_count(value[:, :, None] ^ patterns).astype(np.int64)
-            sig = (away << (5 * np.arange(PIVOTS))).sum(2)
+            sig = (away * factors).sum(2)  # modulo 2 ** 64: a name of the row of distances, another for each band
             far = np.stack([(bits != r).sum(1) for r in references], 1).astype(np.int16) if b.num_rows else np.zeros((0, REFERENCES), np.int16)
             fp = np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
@@ -192,16 +193,18 @@ def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: in
     return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _fp array<bigint>, _sig array<bigint>, _far array<smallint>")
 
 
-def _band_pairs(rows: DataFrame, similarity: float, part: int) -> DataFrame:
-    """rows: _t, _g (a band and its signature), _n, _w (a number and the first 64 bits). Pairs u, v to verify: all of a bucket of
-    at most `part`; a larger one is dealt, anew for each band, into parts of about `part`, and parts' firsts meet the bucket's."""
-    first_limit = most_bits(similarity, 64) + 6
-    sizes = rows.groupBy("_t", "_g").agg(F.count("*").alias("_m"), F.min("_n").alias("_first")).where("_m > 1")
-    met = rows.join(sizes, ["_t", "_g"]).withColumn("_p", F.expr(f"if(_m <= {part}, 0L, pmod(xxhash64(_n, _t), ceil(_m / {part})))"))
-    parts = met.groupBy("_t", "_g", "_p", "_first").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_w").alias("w")))).alias("_l"))
-    near = F.expr(f"flatten(transform(_l, (x, i) -> transform(filter(slice(_l, i + 2, size(_l)), y -> bit_count(x.w ^ y.w) <= {first_limit}), y -> struct(x.n as u, y.n as v))))")
-    pairs = parts.select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
-    firsts = parts.select(F.col("_first").alias("u"), F.expr("_l[0].n").alias("v")).where("u <> v")
+def _band_pairs(rows: DataFrame, part: int) -> DataFrame:
+    """rows: _g (a band's signature), _root (a component so far), _n. Pairs u, v to verify. A bucket has one member of each
+    component. All of a bucket of at most `part` are paired; a larger one is dealt, anew for each band, into parts of about `part`,
+    and parts' firsts meet the bucket's."""
+    several = rows.groupBy("_g").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).where("_a <> _b").select("_g")
+    met = materialize(rows.join(several, "_g").groupBy("_g", "_root").agg(F.min("_n").alias("_n")).select("_g", "_n"), "met")
+    sizes = met.groupBy("_g").agg(F.count("*").alias("_m"), F.min("_n").alias("_first"))
+    dealt = met.join(sizes, "_g").withColumn("_p", F.expr(f"if(_m <= {part}, 0L, pmod(xxhash64(_n, _g), ceil(_m / {part})))"))
+    parts = dealt.groupBy("_g", "_p", "_first").agg(F.sort_array(F.collect_list("_n")).alias("_l"))
+    near = F.expr("flatten(transform(_l, (x, i) -> transform(slice(_l, i + 2, size(_l)), y -> struct(x as u, y as v))))")
+    pairs = parts.where("size(_l) > 1").select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
+    firsts = parts.select(F.col("_first").alias("u"), F.expr("_l[0]").alias("v")).where("u <> v")
     return materialize(pairs.unionByName(firsts).distinct(), "pairs")
 
 
@@ -220,13 +223,12 @@ def similar_groups(fps: DataFrame, similarity: float = SIMILARITY, part: int = B
 
     Candidates share a band's signature. The first bands join what is dense; for the other bands a bucket has one member of each
     component so far, so that a large group of near copies is joined through its parts and never as all of its pairs."""
-    rows = fps.select("_n", F.element_at("_fp", 1).alias("_w"), F.posexplode("_sig").alias("_t", "_g"))
-    links = materialize(_verified(_band_pairs(rows.where(f"_t < {FIRST_BANDS}"), similarity, part), fps, similarity), "links")
+    rows = fps.select(F.explode(F.slice("_sig", 1, FIRST_BANDS)).alias("_g"), F.col("_n").alias("_root"), "_n")
+    links = materialize(_verified(_band_pairs(rows, part), fps, similarity), "links")
     roots = components(links).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
-    rooted = fps.join(roots, "_n", "left").withColumn("_root", F.coalesce("_root", "_n"))
-    rows = rooted.select("_n", "_root", F.element_at("_fp", 1).alias("_w"), F.posexplode("_sig").alias("_t", "_g")).where(f"_t >= {FIRST_BANDS}")
-    one = rows.groupBy("_t", "_g", "_root").agg(F.min(F.struct("_n", "_w")).alias("_o")).select("_t", "_g", "_o._n", "_o._w")
-    more = _verified(_band_pairs(one, similarity, part), fps, similarity)
+    rooted = fps.select("_n", "_sig").join(roots, "_n", "left")
+    rows = rooted.select(F.explode(F.slice("_sig", FIRST_BANDS + 1, BANDS)).alias("_g"), F.coalesce("_root", "_n").alias("_root"), "_n")
+    more = _verified(_band_pairs(rows, part), fps, similarity)
     return components(links.unionByName(more))
 
 
