@@ -140,6 +140,12 @@ def nce(p: dict, first, second, cls, n, share: np.ndarray, rate: float, seed: in
     def sigmoid(x):
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
+    def add(m, at, rows):
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        m[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
     for _ in range(-(-draws // step)):
         at = np.minimum(np.searchsorted(weight, rng.random(step)), len(n) - 1)
         w, a, b = cls[at], first[at], second[at]
@@ -149,12 +155,10 @@ def nce(p: dict, first, second, cls, n, share: np.ndarray, rate: float, seed: in
         bad = -sigmoid(q @ p["R"][z].T + p["bias"][z] - log_kq[z])
         dq = good[:, None] * p["R"][w] + bad @ p["R"][z]
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        np.add.at(g["C1"], a, dq)
-        np.add.at(g["C2"], b, dq)
-        np.add.at(g["R"], w, good[:, None] * q)
-        np.add.at(g["R"], z, bad.T @ q)
-        np.add.at(g["bias"], w, good)
-        np.add.at(g["bias"], z, bad.sum(0))
+        add(g["C1"], a, dq)
+        add(g["C2"], b, dq)
+        add(g["R"], np.concatenate([w, z]), np.concatenate([good[:, None] * q, bad.T @ q]))
+        g["bias"] += np.bincount(np.concatenate([w, z]), np.concatenate([good, bad.sum(0)]), len(share)).astype(np.float32)
         for k, v in p.items():
             d = g[k] / step
             past[k] += d * d * step
