@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by similarity: wide fingerprints
 
-FINE_WORDS, SIMILARITY, WIDE, BANDS, FIRST_BANDS, BAND_BITS, BAND_PIVOTS, BAND_PART, REFERENCES = 5, 0.8, 16, 96, 8, 22, 24, 8, 16
+FINE_WORDS, SIMILARITY, WIDE, BANDS, ROUNDS, BAND_BITS, BAND_PIVOTS, BAND_PART, REFERENCES = 5, 0.8, 16, 96, (8, 32, 96), 22, 24, 8, 16
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -221,15 +221,17 @@ def _verified(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(fps: DataFrame, similarity: float = SIMILARITY, part: int = BAND_PART) -> DataFrame:
     """fps: _n (long, distinct), _fp (distinct), _sig, _far. u, v: components of similar fingerprints (see components).
 
-    Candidates share a band's signature. The first bands join what is dense; for the other bands a bucket has one member of each
-    component so far, so that a large group of near copies is joined through its parts and never as all of its pairs."""
-    rows = fps.select(F.explode(F.slice("_sig", 1, FIRST_BANDS)).alias("_g"), F.col("_n").alias("_root"), "_n")
-    links = materialize(_verified(_band_pairs(rows, part), fps, similarity), "links")
-    roots = components(links).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
-    rooted = fps.select("_n", "_sig").join(roots, "_n", "left")
-    rows = rooted.select(F.explode(F.slice("_sig", FIRST_BANDS + 1, BANDS)).alias("_g"), F.coalesce("_root", "_n").alias("_root"), "_n")
-    more = _verified(_band_pairs(rows, part), fps, similarity)
-    return components(links.unionByName(more))
+    Candidates share a band's signature. The bands come in ROUNDS: the first ones join what is dense, and later a bucket has one
+    member of each component so far, so that a large group of near copies is joined through its parts and never as all of its pairs."""
+    links, roots, done = None, None, 0
+    for bands in ROUNDS:
+        rooted = fps.select("_n", "_sig", F.col("_n").alias("_root")) if roots is None else fps.select("_n", "_sig").join(roots, "_n", "left").withColumn("_root", F.coalesce("_root", "_n"))
+        rows = rooted.select(F.explode(F.slice("_sig", done + 1, bands - done)).alias("_g"), "_root", "_n")
+        found = materialize(_verified(_band_pairs(rows, part), fps, similarity), "links")
+        links = found if links is None else links.unionByName(found)
+        linked = components(links)
+        roots, done = linked.select(F.col("u").alias("_n"), F.col("v").alias("_root")), bands
+    return linked
 
 
 def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text", id_col: str = "doc_id", words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
