@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by similarity: wide fingerprints
 
-FINE_WORDS, SIMILARITY, WIDE, BANDS, ROUNDS, BAND_BITS, BAND_PIVOTS, BAND_PART, REFERENCES = 5, 0.8, 16, 96, (8, 32, 96), 22, 24, 8, 16
+FINE_WORDS, SIMILARITY, WIDE, BANDS, ROUNDS, BAND_BITS, BAND_PIVOTS, BAND_PART, REFERENCES = 5, 0.8, 16, 96, (8, 32, 96), 22, 24, 4, 16
 
 
 def most_bits(similarity: float, bits: int) -> int:
