@@ -81,3 +81,10 @@ def test_near_copies(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
     assert simhash.near_copies(empty(spark), ["doc_id"]).collect() == []
+
+
+def test_near_copies_are_of_sets(spark):
+    line = words(24, 500)
+    rows = [(1, words(300, 501) + f" {line}" * 20), (2, words(300, 502) + f" {line}" * 20), (3, words(300, 503) + f" {line}" * 2), (4, words(300, 503) + f" {line}" * 12)]
+    got = {r.doc_id: r.kept for r in simhash.near_copies(documents(spark, rows), ["doc_id"]).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}

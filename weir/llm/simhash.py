@@ -53,6 +53,14 @@ def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> Iterato
         yield np.array([xxh64_intdigest(b" ".join(kept), seed)], dtype=np.uint64)
 
 
+def distinct_shingles(text: bytes, words: int):
+    """The sorted distinct XXH64 of a text's shingles."""
+    import numpy as np
+
+    parts = [np.unique(h) for h in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def majority(hashes: Iterator, table) -> int:
     """The bits set in over half the hashes, as a signed 64-bit integer. table: the bits of each byte."""
     import numpy as np
@@ -169,7 +177,7 @@ def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: in
             bits = np.zeros((b.num_rows, 64 * WIDE), bool)
             for row, t in enumerate(b.column(len(keys)).cast(pa.binary()).to_pylist()):
                 counts, n = np.zeros((WIDE, 2048), np.int64), 0
-                for h in shingle_hashes(t, words):
+                for h in [distinct_shingles(t, words)]:
                     n += len(h)
                     for k in range(WIDE):
                         x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1)
