@@ -88,3 +88,18 @@ def test_near_copies_are_of_sets(spark):
     rows = [(1, words(300, 501) + f" {line}" * 20), (2, words(300, 502) + f" {line}" * 20), (3, words(300, 503) + f" {line}" * 2), (4, words(300, 503) + f" {line}" * 12)]
     got = {r.doc_id: r.kept for r in simhash.near_copies(documents(spark, rows), ["doc_id"]).collect()}
     assert got == {1: True, 2: True, 3: True, 4: False}
+
+
+def edited(text, n, seed):
+    """n words replaced, 40 apart: five shingles each."""
+    w = text.split()
+    for i in range(n):
+        w[20 + 40 * i] = f"z{seed}z{i}"
+    return " ".join(w)
+
+
+def test_near_copies_at_the_limit(spark):
+    base = [words(404, 700 + i) for i in range(60)]  # 400 shingles; 8 edits leave 360 of 440 alike (0.818), 9 edits 355 of 445 (0.798)
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, edited(t, 8 + i % 2, i)) for i, t in enumerate(base)]
+    got = {r.doc_id: r.kept for r in simhash.near_copies(documents(spark, rows), ["doc_id"]).collect()}
+    assert {i for i, kept in got.items() if not kept} == {1000 + i for i in range(0, 60, 2)}

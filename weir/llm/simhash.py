@@ -143,114 +143,150 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: wide fingerprints
+# Near copies by similarity: sets of shingles
 
-FINE_WORDS, SIMILARITY, WIDE, BANDS, ROUNDS, BAND_BITS, BAND_PIVOTS, BAND_PART, REFERENCES = 5, 0.8, 16, 96, (8, 32, 96), 22, 24, 4, 16
+FINE_WORDS, SIMILARITY, STARS = 5, 0.8, (16, 1)
+FLUSH, OFTEN = 2_000_000, 8
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """The bits in which fingerprints of sets of this Jaccard similarity differ, and one and a half standard deviations more."""
-    from math import acos, pi, sqrt
+def shingle_sets(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WORDS) -> DataFrame:
+    """The keys, _set (the sorted distinct XXH64 of the shingles), _name (128 bits that name the set)."""
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
 
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * p + 1.5 * sqrt(bits * p * (1 - p)))
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        for b in batches:
+            sets = [distinct_shingles(t, words) for t in b.column(len(keys)).cast(pa.binary()).to_pylist()]
+            names = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.ListArray.from_arrays(ends, flat), names], [*keys, "_set", "_name"])
 
-def wide_fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WORDS) -> DataFrame:
-    """The keys, _fp (WIDE words of 64 bits), _sig (a signature of each band), _far (distances to the reference fingerprints).
+    return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _set array<bigint>, _name binary")
 
-    A band is a fixed choice of BAND_BITS bits; its signature names the table row of its distances to BAND_PIVOTS patterns."""
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+
+def often_met(sets: DataFrame, most: int = 500_000):
+    """Shingles that many sets hold (sorted) and the magnitudes of their counts: what is rare among FLUSH shingles isn't counted.
+
+    Only the order of heads follows from it, and any order gives all pairs; this one keeps buckets small."""
+    import numpy as np
 
     def each(batches):
-        import numpy as np
         import pyarrow as pa
 
-        rng = np.random.default_rng(11)
-        table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-        chosen = np.stack([rng.choice(64 * WIDE, BAND_BITS, replace=False) for _ in range(BANDS)])
-        patterns = rng.integers(0, 1 << BAND_BITS, BAND_PIVOTS)
-        factors = rng.integers(-(1 << 63), (1 << 63) - 1, (BANDS, BAND_PIVOTS)) | 1
-        references = rng.integers(0, 2, (REFERENCES, 64 * WIDE)).astype(bool)
-        place = (np.arange(8, dtype=np.uint16) << 8)[None]
+        held, size = [], 0
+
+        def out():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            h, n = h[n >= OFTEN], n[n >= OFTEN]
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["_g", "n"])
+
         for b in batches:
-            bits = np.zeros((b.num_rows, 64 * WIDE), bool)
-            for row, t in enumerate(b.column(len(keys)).cast(pa.binary()).to_pylist()):
-                counts, n = np.zeros((WIDE, 2048), np.int64), 0
-                for h in [distinct_shingles(t, words)]:
-                    n += len(h)
-                    for k in range(WIDE):
-                        x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (1 << 64) - 1)
-                        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                        x ^= x >> np.uint64(31)
-                        counts[k] += np.bincount((x.view(np.uint8).reshape(-1, 8) + place).ravel(), minlength=2048)
-                bits[row] = ((counts.reshape(-1, 256) @ table) * 2 > n).ravel()
-            value = bits[:, chosen] @ (1 << np.arange(BAND_BITS))
-            away = np.bitwise_count(value[:, :, None] ^ patterns).astype(np.int64)
-            sig = (away * factors).sum(2)  # modulo 2 ** 64: a name of the row of distances, another for each band
-            far = np.stack([(bits != r).sum(1) for r in references], 1).astype(np.int16) if b.num_rows else np.zeros((0, REFERENCES), np.int16)
-            fp = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-
-            def lists(m, kind):
-                return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel(), kind))
-
-            arrays = [*b.columns[: len(keys)], lists(fp, pa.int64()), lists(sig, pa.int64()), lists(far, pa.int16())]
-            yield pa.RecordBatch.from_arrays(arrays, [*keys, "_fp", "_sig", "_far"])
-
-    return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _fp array<bigint>, _sig array<bigint>, _far array<smallint>")
-
-
-def _band_pairs(rows: DataFrame, part: int) -> DataFrame:
-    """rows: _g (a band's signature), _root (a component so far), _n. Pairs u, v to verify. A bucket has one member of each
-    component. All of a bucket of at most `part` are paired; a larger one is dealt, anew for each band, into parts of about `part`,
-    and parts' firsts meet the bucket's."""
+            held.append(b.column(0).flatten().to_numpy(zero_copy_only=False))
+            size += len(held[-1])
+            if size > FLUSH:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    counted = sets.select("_set").mapInArrow(each, "_g long, n long").groupBy("_g").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c"))
+    counted = materialize(counted, "often")
+    total, least = 0, 64
+    for c, n in sorted(((r["c"], r["count"]) for r in counted.groupBy("c").count().collect()), reverse=True):
+        if total + n > most:
+            break
+        total, least = total + n, c
+    got = counted.where(F.col("c") >= least).toArrow()
+    h, c = got.column("_g").to_numpy(), got.column("c").to_numpy().astype(np.int8)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def heads(sets: DataFrame, similarity: float) -> DataFrame:
+    """_n, _size, _head: the first shingles of each set, rarest first: two sets of this similarity have one of them in common.
+
+    Sets of n and m shingles with at least `similarity` have n * similarity or more in common, so of the n in any one order, which
+    is the same for all sets, the first n - ceil(n * similarity) + 1 can't all be missing in the other's first ones."""
+    import numpy as np
+
+    sent = sets.sparkSession.sparkContext.broadcast(often_met(sets))
+
+    def each(batches):
+        import pyarrow as pa
+
+        known, magnitude = sent.value
+        for b in batches:
+            column = b.column(1)
+            size = np.diff(column.offsets.to_numpy())
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            common = np.zeros(len(flat), np.int8)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                common = np.where(known[at] == flat, magnitude[at], common)
+            row = np.repeat(np.arange(len(size)), size)
+            flat = flat[np.lexsort((flat, common, row))]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            length = size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1
+            head = flat[place < np.repeat(length, size)]
+            ends = pa.array(np.cumsum([0, *length]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(head))], ["_n", "_size", "_head"])
+
+    return sets.select("_n", "_set").mapInArrow(each, "_n long, _size int, _head array<bigint>")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of buckets in which several components meet."""
     several = rows.groupBy("_g").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).where("_a <> _b").select("_g")
-    met = materialize(rows.join(several, "_g").groupBy("_g", "_root").agg(F.min("_n").alias("_n")).select("_g", "_n"), "met")
-    sizes = met.groupBy("_g").agg(F.count("*").alias("_m"), F.min("_n").alias("_first"))
-    dealt = met.join(sizes, "_g").withColumn("_p", F.expr(f"if(_m <= {part}, 0L, pmod(xxhash64(_n, _g), ceil(_m / {part})))"))
-    parts = dealt.groupBy("_g", "_p", "_first").agg(F.sort_array(F.collect_list("_n")).alias("_l"))
-    near = F.expr("flatten(transform(_l, (x, i) -> transform(slice(_l, i + 2, size(_l)), y -> struct(x as u, y as v))))")
-    pairs = parts.where("size(_l) > 1").select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
-    firsts = parts.select(F.col("_first").alias("u"), F.expr("_l[0]").alias("v")).where("u <> v")
-    return materialize(pairs.unionByName(firsts).distinct(), "pairs")
-
-
-def _verified(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that no reference fingerprint tells apart and whose fingerprints differ in few enough bits."""
-    limit = most_bits(similarity, 64 * WIDE)
-    a = fps.select(F.col("_n").alias("u"), F.col("_fp").alias("_fa"), F.col("_far").alias("_ra"))
-    b = fps.select(F.col("_n").alias("v"), F.col("_fp").alias("_fb"), F.col("_far").alias("_rb"))
-    both = pairs.join(a, "u").join(b, "v")
-    both = both.where(f"array_max(zip_with(_ra, _rb, (x, y) -> abs(int(x) - int(y)))) <= {limit}")
-    return both.where(f"aggregate(zip_with(_fa, _fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {limit}").select("u", "v")
+    return rows.join(several, "_g")
 
 
-def similar_groups(fps: DataFrame, similarity: float = SIMILARITY, part: int = BAND_PART) -> DataFrame:
-    """fps: _n (long, distinct), _fp (distinct), _sig, _far. u, v: components of similar fingerprints (see components).
+def _star_pairs(rows: DataFrame, one_in: int) -> DataFrame:
+    """Of one in so many buckets: one of the members, another in each bucket, with one member of each other component."""
+    met = _several(rows.where(F.pmod(F.xxhash64("_g"), F.lit(one_in)) == 0)).groupBy("_g", "_root").agg(F.min("_n").alias("_n"))
+    middle = met.groupBy("_g").agg(F.min_by("_n", F.xxhash64("_n", "_g")).alias("_m"))
+    pairs = met.join(middle, "_g").where("_n <> _m")
+    return pairs.select(F.least("_n", "_m").alias("u"), F.greatest("_n", "_m").alias("v")).distinct()
 
-    Candidates share a band's signature. The bands come in ROUNDS: the first ones join what is dense, and later a bucket has one
-    member of each component so far, so that a large group of near copies is joined through its parts and never as all of its pairs."""
-    links, roots, done = None, None, 0
-    for bands in ROUNDS:
-        rooted = fps.select("_n", "_sig", F.col("_n").alias("_root")) if roots is None else fps.select("_n", "_sig").join(roots, "_n", "left").withColumn("_root", F.coalesce("_root", "_n"))
-        rows = rooted.select(F.explode(F.slice("_sig", done + 1, bands - done)).alias("_g"), "_root", "_n")
-        found = materialize(_verified(_band_pairs(rows, part), fps, similarity), "links")
-        links = found if links is None else links.unionByName(found)
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have this Jaccard similarity or more."""
+    a = sets.select(F.col("_n").alias("u"), F.col("_set").alias("_sa"))
+    b = sets.select(F.col("_n").alias("v"), F.col("_set").alias("_sb"))
+    both = pairs.join(a, "u").join(b, "v")
+    return both.where(f"size(array_intersect(_sa, _sb)) * (1 + {similarity}) >= {similarity} * (size(_sa) + size(_sb)) - 1e-6").select("u", "v")
+
+
+def similar_groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """sets: _n (long, distinct), _set, _name. u, v: components of sets of at least `similarity` (see components).
+
+    Candidates share a shingle of their heads. In the rounds of STARS a bucket's members meet one of them, which joins what is dense
+    without all of its pairs."""
+    named = sets.groupBy("_name").agg(F.min("_n").alias("v"), F.count("*").alias("_m")).where("_m > 1").select("_name", "v")
+    links = materialize(sets.select("_name", F.col("_n").alias("u")).join(named, "_name").where("u <> v").select("u", "v"), "same")
+    firsts = heads(sets, similarity).join(links.select(F.col("u").alias("_n")), "_n", "left_anti")
+    tokens = materialize(firsts.select("_n", "_size", F.posexplode("_head").alias("_at", "_g")).withColumn("_root", F.col("_n")), "tokens")
+    tokens = materialize(_several(tokens), "shared")
+    sets = materialize(sets.select("_n", "_set").join(tokens.select("_n").distinct(), "_n", "left_semi"), "compared")
+    for one_in in STARS:
+        pairs = _star_pairs(tokens, one_in)
+        links = links.unionByName(materialize(_verified(materialize(pairs, "pairs"), sets, similarity), "links"))
         linked = components(links)
-        roots, done = linked.select(F.col("u").alias("_n"), F.col("v").alias("_root")), bands
+        roots = linked.select(F.col("u").alias("_n"), F.col("v").alias("_to"))
+        rooted = tokens.drop("_root").join(roots, "_n", "left").withColumn("_root", F.coalesce("_to", "_n")).drop("_to")
+        tokens = materialize(_several(rooted), "shared")
     return linked
 
 
 def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text", id_col: str = "doc_id", words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The keys, _group (a number) and kept: of each group of near copies the row with the smallest id (then smallest keys) stays.
 
-    keys name a row; texts with equal fingerprints are near copies of each other. A text without words is in no group."""
+    keys name a row; texts with equal sets of shingles are near copies of each other. A text without words is in no group."""
     rows = docs.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.length(F.trim(F.regexp_replace(text_of("_t"), r"[\t\n\x0B\f\r]", " "))) > 0)
-    rows = materialize(wide_fingerprints(rows, [*keys, "_id"], "_t", words).withColumn("_n", F.monotonically_increasing_id()), "wide")
-    classes = materialize(rows.groupBy("_fp").agg(F.min("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_far").alias("_far")), "classes")
-    roots = similar_groups(classes, similarity).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
-    named = classes.select("_fp", "_n").join(roots, "_n", "left").select("_fp", F.coalesce("_root", "_n").alias("_group"))
-    rows = materialize(rows.drop("_sig", "_far").join(named, "_fp").drop("_fp"), "grouped")
+    rows = materialize(shingle_sets(rows, [*keys, "_id"], "_t", words).withColumn("_n", F.monotonically_increasing_id()), "sets")
+    roots = similar_groups(rows.select("_n", "_name", "_set"), similarity).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
+    rows = materialize(rows.drop("_set", "_name").join(roots, "_n", "left").withColumn("_group", F.coalesce("_root", "_n")).drop("_root"), "grouped")
     least = rows.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_n").alias("n"))).alias("_k"))
     return rows.join(least, "_group").select(*keys, "_group", (F.col("_n") == F.col("_k.n")).alias("kept"))
