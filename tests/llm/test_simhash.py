@@ -103,3 +103,23 @@ def test_near_copies_at_the_limit(spark):
     rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, edited(t, 8 + i % 2, i)) for i, t in enumerate(base)]
     got = {r.doc_id: r.kept for r in simhash.near_copies(documents(spark, rows), ["doc_id"]).collect()}
     assert {i for i, kept in got.items() if not kept} == {1000 + i for i in range(0, 60, 2)}
+
+
+def sets_of(spark, sets):
+    rows = [(n, sorted(s), str(sorted(s)).encode()) for n, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "_n long, _set array<long>, _name binary")
+
+
+def test_large_buckets_are_whole(spark):
+    # all sets hold shingle 1, the first in order; of 60 only 7 and 43, 11 and 29 are alike
+    sets = [{1} | {1000 * (n + 1) + i for i in range(9)} for n in range(60)]
+    for a, b in ((7, 43), (11, 29)):
+        sets[b] = {1} | set(sorted(sets[a] - {1})[1:]) | {5}
+        sets[a], sets[b] = sets[a] | {2}, sets[b] | {2}
+    got = simhash._all_pairs(buckets(spark, [(n, 1, 10, 0, n) for n in range(60)]), 0.8)
+    assert got.count() == 60 * 59 // 2
+    assert {(r.u, r.v) for r in simhash.similar_groups(sets_of(spark, sets)).collect()} == {(43, 7), (29, 11)}
+
+
+def buckets(spark, rows):
+    return spark.createDataFrame(rows, "_n long, _g long, _size int, _at int, _root long")

@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by similarity: sets of shingles
 
-FINE_WORDS, SIMILARITY, STARS = 5, 0.8, (16, 1)
+FINE_WORDS, SIMILARITY, STARS, CHUNK = 5, 0.8, (16, 1), 64
 FLUSH, OFTEN = 2_000_000, 8
 
 
@@ -251,6 +251,20 @@ def _star_pairs(rows: DataFrame, one_in: int) -> DataFrame:
     return pairs.select(F.least("_n", "_m").alias("u"), F.greatest("_n", "_m").alias("v")).distinct()
 
 
+def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a bucket whose members are of different components and can be similar by their sizes and places.
+
+    The first shingle that two sets share has what they share behind it: they can't share more than the shorter of the two rests that begin with it."""
+    met = materialize(_several(rows).groupBy("_g", "_root").agg(F.min(F.struct("_n", "_size", "_at")).alias("_x")).select("_g", "_root", "_x.*"), "met")
+    sizes = met.groupBy("_g", "_root").agg(F.ceil(F.count("*") / CHUNK).alias("_m"))
+    lists = met.join(sizes, ["_g", "_root"]).withColumn("_c", F.pmod(F.xxhash64("_n"), F.col("_m"))).groupBy("_g", "_root", "_c").agg(F.collect_list(F.struct("_n", "_size", "_at")).alias("_l"))
+    lists = materialize(lists, "lists")
+    other = lists.select("_g", F.col("_root").alias("_other"), F.col("_l").alias("_k"))
+    fits = f"least(x._size - x._at, y._size - y._at) >= {similarity} / (1 + {similarity}) * (x._size + y._size) - 1e-6"
+    near = F.expr(f"flatten(transform(_l, x -> transform(filter(_k, y -> {fits}), y -> struct(least(x._n, y._n) as u, greatest(x._n, y._n) as v))))")
+    return lists.join(other, "_g").where("_root < _other").select(F.explode(near).alias("_e")).select("_e.u", "_e.v").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets have this Jaccard similarity or more."""
     a = sets.select(F.col("_n").alias("u"), F.col("_set").alias("_sa"))
@@ -263,20 +277,21 @@ def similar_groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """sets: _n (long, distinct), _set, _name. u, v: components of sets of at least `similarity` (see components).
 
     Candidates share a shingle of their heads. In the rounds of STARS a bucket's members meet one of them, which joins what is dense
-    without all of its pairs."""
+    without all of its pairs; at last all pairs of a bucket that are not yet of one component are compared, so none is missed."""
     named = sets.groupBy("_name").agg(F.min("_n").alias("v"), F.count("*").alias("_m")).where("_m > 1").select("_name", "v")
     links = materialize(sets.select("_name", F.col("_n").alias("u")).join(named, "_name").where("u <> v").select("u", "v"), "same")
     firsts = heads(sets, similarity).join(links.select(F.col("u").alias("_n")), "_n", "left_anti")
     tokens = materialize(firsts.select("_n", "_size", F.posexplode("_head").alias("_at", "_g")).withColumn("_root", F.col("_n")), "tokens")
     tokens = materialize(_several(tokens), "shared")
     sets = materialize(sets.select("_n", "_set").join(tokens.select("_n").distinct(), "_n", "left_semi"), "compared")
-    for one_in in STARS:
-        pairs = _star_pairs(tokens, one_in)
+    for one_in in (*STARS, None):
+        pairs = _star_pairs(tokens, one_in) if one_in else _all_pairs(tokens, similarity)
         links = links.unionByName(materialize(_verified(materialize(pairs, "pairs"), sets, similarity), "links"))
         linked = components(links)
-        roots = linked.select(F.col("u").alias("_n"), F.col("v").alias("_to"))
-        rooted = tokens.drop("_root").join(roots, "_n", "left").withColumn("_root", F.coalesce("_to", "_n")).drop("_to")
-        tokens = materialize(_several(rooted), "shared")
+        if one_in:
+            roots = linked.select(F.col("u").alias("_n"), F.col("v").alias("_to"))
+            rooted = tokens.drop("_root").join(roots, "_n", "left").withColumn("_root", F.coalesce("_to", "_n")).drop("_to")
+            tokens = materialize(_several(rooted), "shared")
     return linked
 
 
