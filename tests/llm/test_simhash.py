@@ -123,3 +123,9 @@ def test_large_buckets_are_whole(spark):
 
 def buckets(spark, rows):
     return spark.createDataFrame(rows, "_n long, _g long, _size int, _at int, _root long")
+
+
+def test_members_of_a_component_are_all_compared(spark):
+    # 2 is similar to 1 but not to 0, and meets both in one bucket only
+    got = simhash._all_pairs(buckets(spark, [(0, 9, 10, 0, 0), (1, 9, 10, 0, 0), (2, 9, 10, 0, 2)]), 0.8)
+    assert {(r.u, r.v) for r in got.collect()} == {(0, 2), (1, 2)}

@@ -255,7 +255,7 @@ def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """All pairs of a bucket whose members are of different components and can be similar by their sizes and places.
 
     The first shingle that two sets share has what they share behind it: they can't share more than the shorter of the two rests that begin with it."""
-    met = materialize(_several(rows).groupBy("_g", "_root").agg(F.min(F.struct("_n", "_size", "_at")).alias("_x")).select("_g", "_root", "_x.*"), "met")
+    met = materialize(_several(rows), "met")
     sizes = met.groupBy("_g", "_root").agg(F.ceil(F.count("*") / CHUNK).alias("_m"))
     lists = met.join(sizes, ["_g", "_root"]).withColumn("_c", F.pmod(F.xxhash64("_n"), F.col("_m"))).groupBy("_g", "_root", "_c").agg(F.collect_list(F.struct("_n", "_size", "_at")).alias("_l"))
     lists = materialize(lists, "lists")
