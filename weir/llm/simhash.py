@@ -149,26 +149,29 @@ FINE_WORDS, SIMILARITY, STARS, CHUNK = 5, 0.8, (16, 1), 64
 FLUSH, OFTEN = 2_000_000, 8
 
 
-def shingle_sets(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WORDS) -> DataFrame:
-    """The keys, _set (the sorted distinct XXH64 of the shingles), _name (128 bits that name the set)."""
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+def _sets(column, words: int) -> list:
+    import pyarrow as pa
+
+    return [distinct_shingles(t, words) for t in column.cast(pa.binary()).to_pylist()]
+
+
+def shingle_sets(docs: DataFrame, text_col: str, words: int = FINE_WORDS) -> DataFrame:
+    """_n, _set: the sorted distinct XXH64 of the shingles."""
 
     def each(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            sets = [distinct_shingles(t, words) for t in b.column(len(keys)).cast(pa.binary()).to_pylist()]
-            names = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.ListArray.from_arrays(ends, flat), names], [*keys, "_set", "_name"])
+            sets = _sets(b.column(1), words)
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)], ["_n", "_set"])
 
-    return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _set array<bigint>, _name binary")
+    return docs.select("_n", text_of(text_col).alias("_text")).mapInArrow(each, "_n long, _set array<bigint>")
 
 
-def often_met(sets: DataFrame, most: int = 500_000):
-    """Shingles that many sets hold (sorted) and the magnitudes of their counts: what is rare among FLUSH shingles isn't counted.
+def often_met(docs: DataFrame, text_col: str, words: int = FINE_WORDS, most: int = 500_000):
+    """Shingles that many texts hold (sorted) and the magnitudes of their counts: what is rare among FLUSH shingles isn't counted.
 
     Only the order of heads follows from it, and any order gives all pairs; this one keeps buckets small."""
     import numpy as np
@@ -181,18 +184,18 @@ def often_met(sets: DataFrame, most: int = 500_000):
         def out():
             h, n = np.unique(np.concatenate(held), return_counts=True)
             h, n = h[n >= OFTEN], n[n >= OFTEN]
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["_g", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["_g", "n"])
 
         for b in batches:
-            held.append(b.column(0).flatten().to_numpy(zero_copy_only=False))
-            size += len(held[-1])
+            held += _sets(b.column(0), words)
+            size += sum(map(len, held[len(held) - b.num_rows :]))
             if size > FLUSH:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    counted = sets.select("_set").mapInArrow(each, "_g long, n long").groupBy("_g").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c"))
+    counted = docs.select(text_of(text_col)).mapInArrow(each, "_g long, n long").groupBy("_g").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c"))
     counted = materialize(counted, "often")
     total, least = 0, 64
     for c, n in sorted(((r["c"], r["count"]) for r in counted.groupBy("c").count().collect()), reverse=True):
@@ -205,36 +208,36 @@ def often_met(sets: DataFrame, most: int = 500_000):
     return h[order], c[order]
 
 
-def heads(sets: DataFrame, similarity: float) -> DataFrame:
-    """_n, _size, _head: the first shingles of each set, rarest first: two sets of this similarity have one of them in common.
+def heads(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The keys, _name (128 bits that name the set of shingles), _size, _head: the set's first shingles, rarest first.
 
-    Sets of n and m shingles with at least `similarity` have n * similarity or more in common, so of the n in any one order, which
-    is the same for all sets, the first n - ceil(n * similarity) + 1 can't all be missing in the other's first ones."""
+    Two sets of this similarity have one of their first shingles in common: a set of n has n * similarity or more in common with the
+    other, so in an order that is the same for all sets its first n - ceil(n * similarity) + 1 can't all be missing there."""
     import numpy as np
 
-    sent = sets.sparkSession.sparkContext.broadcast(often_met(sets))
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    sent = docs.sparkSession.sparkContext.broadcast(often_met(docs, text_col, words))
 
     def each(batches):
         import pyarrow as pa
 
         known, magnitude = sent.value
         for b in batches:
-            column = b.column(1)
-            size = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy(zero_copy_only=False)
+            sets = _sets(b.column(len(keys)), words)
+            names = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            size = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             common = np.zeros(len(flat), np.int8)
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 common = np.where(known[at] == flat, magnitude[at], common)
-            row = np.repeat(np.arange(len(size)), size)
-            flat = flat[np.lexsort((flat, common, row))]
+            flat = flat[np.lexsort((flat, common, np.repeat(np.arange(len(size)), size)))]
             place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            length = size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1
-            head = flat[place < np.repeat(length, size)]
-            ends = pa.array(np.cumsum([0, *length]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(head))], ["_n", "_size", "_head"])
+            length = np.minimum(size, size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(flat[place < np.repeat(length, size)]))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], names, pa.array(size.astype(np.int32)), lists], [*keys, "_name", "_size", "_head"])
 
-    return sets.select("_n", "_set").mapInArrow(each, "_n long, _size int, _head array<bigint>")
+    return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _name binary, _size int, _head array<bigint>")
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -273,17 +276,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(f"size(array_intersect(_sa, _sb)) * (1 + {similarity}) >= {similarity} * (size(_sa) + size(_sb)) - 1e-6").select("u", "v")
 
 
-def similar_groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """sets: _n (long, distinct), _set, _name. u, v: components of sets of at least `similarity` (see components).
+def similar_groups(firsts: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
+    """firsts: _n (long, distinct), _name, _size, _head (see heads). u, v: components of sets of at least `similarity` (see components).
 
-    Candidates share a shingle of their heads. In the rounds of STARS a bucket's members meet one of them, which joins what is dense
-    without all of its pairs; at last all pairs of a bucket that are not yet of one component are compared, so none is missed."""
-    named = sets.groupBy("_name").agg(F.min("_n").alias("v"), F.count("*").alias("_m")).where("_m > 1").select("_name", "v")
-    links = materialize(sets.select("_name", F.col("_n").alias("u")).join(named, "_name").where("u <> v").select("u", "v"), "same")
-    firsts = heads(sets, similarity).join(links.select(F.col("u").alias("_n")), "_n", "left_anti")
-    tokens = materialize(firsts.select("_n", "_size", F.posexplode("_head").alias("_at", "_g")).withColumn("_root", F.col("_n")), "tokens")
-    tokens = materialize(_several(tokens), "shared")
-    sets = materialize(sets.select("_n", "_set").join(tokens.select("_n").distinct(), "_n", "left_semi"), "compared")
+    sets_of: gives _n and _set for a table of _n. Candidates share a shingle of their heads. In the rounds of STARS a bucket's members
+    meet one of them, which joins what is dense without all of its pairs; at last all pairs of a bucket that are not yet of one
+    component are compared, so none is missed."""
+    named = firsts.groupBy("_name").agg(F.min("_n").alias("v"), F.count("*").alias("_m")).where("_m > 1").select("_name", "v")
+    links = materialize(firsts.select("_name", F.col("_n").alias("u")).join(named, "_name").where("u <> v").select("u", "v"), "same")
+    tokens = firsts.select("_n", "_size", F.posexplode("_head").alias("_at", "_g")).withColumn("_root", F.col("_n"))
+    tokens = materialize(_several(tokens).join(links.select(F.col("u").alias("_n")), "_n", "left_anti"), "shared")
+    sets = materialize(sets_of(tokens.select("_n").distinct()), "compared")
     for one_in in (*STARS, None):
         pairs = _star_pairs(tokens, one_in) if one_in else _all_pairs(tokens, similarity)
         links = links.unionByName(materialize(_verified(materialize(pairs, "pairs"), sets, similarity), "links"))
@@ -300,8 +303,14 @@ def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text", id_col
 
     keys name a row; texts with equal sets of shingles are near copies of each other. A text without words is in no group."""
     rows = docs.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.length(F.trim(F.regexp_replace(text_of("_t"), r"[\t\n\x0B\f\r]", " "))) > 0)
-    rows = materialize(shingle_sets(rows, [*keys, "_id"], "_t", words).withColumn("_n", F.monotonically_increasing_id()), "sets")
-    roots = similar_groups(rows.select("_n", "_name", "_set"), similarity).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
-    rows = materialize(rows.drop("_set", "_name").join(roots, "_n", "left").withColumn("_group", F.coalesce("_root", "_n")).drop("_root"), "grouped")
+    firsts = materialize(heads(rows, [*keys, "_id"], "_t", words, similarity).withColumn("_n", F.monotonically_increasing_id()), "heads")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        asked = some.join(firsts.select("_n", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "_n")
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        return shingle_sets(rows.join(asked, same), "_t", words)
+
+    roots = similar_groups(firsts.select("_n", "_name", "_size", "_head"), sets_of, similarity).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
+    rows = materialize(firsts.select(*keys, "_id", "_n").join(roots, "_n", "left").withColumn("_group", F.coalesce("_root", "_n")).drop("_root"), "grouped")
     least = rows.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_n").alias("n"))).alias("_k"))
     return rows.join(least, "_group").select(*keys, "_group", (F.col("_n") == F.col("_k.n")).alias("kept"))
