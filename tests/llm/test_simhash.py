@@ -114,7 +114,7 @@ def test_large_buckets_are_whole(spark):
     got = simhash._all_pairs(buckets(spark, [(n, 1, 10, 0, n) for n in range(60)]), 0.8)
     assert got.count() == 60 * 59 // 2
     # in any order a head is three of ten or eleven; here the smallest numbers
-    heads = spark.createDataFrame([(n, str(n).encode(), len(s), sorted(s)[:4]) for n, s in enumerate(sets)], "_n long, _name binary, _size int, _head array<long>")
+    heads = spark.createDataFrame([(n, str(n).encode(), len(s), sorted(s)[:4], [0]) for n, s in enumerate(sets)], "_n long, _name binary, _size int, _head array<long>, _mark array<long>")
     whole = spark.createDataFrame([(n, sorted(s)) for n, s in enumerate(sets)], "_n long, _set array<long>")
     assert {(r.u, r.v) for r in simhash.similar_groups(heads, lambda some: whole.join(some, "_n")).collect()} == {(43, 7), (29, 11)}
 

@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Near copies by similarity: sets of shingles
 
 FINE_WORDS, SIMILARITY, STARS, CHUNK = 5, 0.8, (16, 1), 64
-FLUSH, OFTEN = 2_000_000, 8
+FLUSH, OFTEN, MARK = 2_000_000, 8, 1024
 
 
 def _sets(column, words: int) -> list:
@@ -209,7 +209,8 @@ def often_met(docs: DataFrame, text_col: str, words: int = FINE_WORDS, most: int
 
 
 def heads(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The keys, _name (128 bits that name the set of shingles), _size, _head: the set's first shingles, rarest first.
+    """The keys, _name (128 bits that name the set of shingles), _size, _head: the set's first shingles, rarest first, _mark: the parity
+    of the number of shingles in each of MARK cells, in which two sets differ in no more cells than in shingles.
 
     Two sets of this similarity have one of their first shingles in common: a set of n has n * similarity or more in common with the
     other, so in an order that is the same for all sets its first n - ceil(n * similarity) + 1 can't all be missing there."""
@@ -231,13 +232,17 @@ def heads(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WOR
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 common = np.where(known[at] == flat, magnitude[at], common)
-            flat = flat[np.lexsort((flat, common, np.repeat(np.arange(len(size)), size)))]
+            row = np.repeat(np.arange(len(size)), size)
+            odd = np.bincount(row * MARK + (flat & (MARK - 1)), minlength=len(size) * MARK) % 2
+            mark = pa.array(np.packbits(odd.astype(bool), bitorder="little").view("<i8"))
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (MARK // 64), pa.int32()), mark)
+            flat = flat[np.lexsort((flat, common, row))]
             place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             length = np.minimum(size, size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(flat[place < np.repeat(length, size)]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], names, pa.array(size.astype(np.int32)), lists], [*keys, "_name", "_size", "_head"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], names, pa.array(size.astype(np.int32)), lists, marks], [*keys, "_name", "_size", "_head", "_mark"])
 
-    return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _name binary, _size int, _head array<bigint>")
+    return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _name binary, _size int, _head array<bigint>, _mark array<bigint>")
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -268,16 +273,22 @@ def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return lists.join(other, "_g").where("_root < _other").select(F.explode(near).alias("_e")).select("_e.u", "_e.v").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have this Jaccard similarity or more."""
+def _verified(pairs: DataFrame, firsts: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """The pairs whose sets have this Jaccard similarity or more. Sets are made only for pairs whose marks allow it, which loses none."""
+    a = firsts.select(F.col("_n").alias("u"), F.col("_size").alias("_za"), F.col("_mark").alias("_ma"))
+    b = firsts.select(F.col("_n").alias("v"), F.col("_size").alias("_zb"), F.col("_mark").alias("_mb"))
+    apart = "aggregate(zip_with(_ma, _mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    close = pairs.join(a, "u").join(b, "v").where(f"{apart} <= (1 - {similarity}) / (1 + {similarity}) * (_za + _zb) + 1e-6")
+    close = materialize(close.select("u", "v"), "close")
+    sets = materialize(sets_of(close.select(F.explode(F.array("u", "v")).alias("_n")).distinct()), "compared")
     a = sets.select(F.col("_n").alias("u"), F.col("_set").alias("_sa"))
     b = sets.select(F.col("_n").alias("v"), F.col("_set").alias("_sb"))
-    both = pairs.join(a, "u").join(b, "v")
+    both = close.join(a, "u").join(b, "v")
     return both.where(f"size(array_intersect(_sa, _sb)) * (1 + {similarity}) >= {similarity} * (size(_sa) + size(_sb)) - 1e-6").select("u", "v")
 
 
 def similar_groups(firsts: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
-    """firsts: _n (long, distinct), _name, _size, _head (see heads). u, v: components of sets of at least `similarity` (see components).
+    """firsts: _n (long, distinct), _name, _size, _head, _mark (see heads). u, v: components of sets of at least `similarity` (see components).
 
     sets_of: gives _n and _set for a table of _n. Candidates share a shingle of their heads. In the rounds of STARS a bucket's members
     meet one of them, which joins what is dense without all of its pairs; at last all pairs of a bucket that are not yet of one
@@ -286,10 +297,9 @@ def similar_groups(firsts: DataFrame, sets_of, similarity: float = SIMILARITY) -
     links = materialize(firsts.select("_name", F.col("_n").alias("u")).join(named, "_name").where("u <> v").select("u", "v"), "same")
     tokens = firsts.select("_n", "_size", F.posexplode("_head").alias("_at", "_g")).withColumn("_root", F.col("_n"))
     tokens = materialize(_several(tokens).join(links.select(F.col("u").alias("_n")), "_n", "left_anti"), "shared")
-    sets = materialize(sets_of(tokens.select("_n").distinct()), "compared")
     for one_in in (*STARS, None):
         pairs = _star_pairs(tokens, one_in) if one_in else _all_pairs(tokens, similarity)
-        links = links.unionByName(materialize(_verified(materialize(pairs, "pairs"), sets, similarity), "links"))
+        links = links.unionByName(materialize(_verified(materialize(pairs, "pairs"), firsts, sets_of, similarity), "links"))
         linked = components(links)
         if one_in:
             roots = linked.select(F.col("u").alias("_n"), F.col("v").alias("_to"))
@@ -310,7 +320,7 @@ def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text", id_col
         same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
         return shingle_sets(rows.join(asked, same), "_t", words)
 
-    roots = similar_groups(firsts.select("_n", "_name", "_size", "_head"), sets_of, similarity).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
+    roots = similar_groups(firsts.select("_n", "_name", "_size", "_head", "_mark"), sets_of, similarity).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
     rows = materialize(firsts.select(*keys, "_id", "_n").join(roots, "_n", "left").withColumn("_group", F.coalesce("_root", "_n")).drop("_root"), "grouped")
     least = rows.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_n").alias("n"))).alias("_k"))
     return rows.join(least, "_group").select(*keys, "_group", (F.col("_n") == F.col("_k.n")).alias("kept"))
