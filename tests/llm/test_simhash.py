@@ -71,23 +71,43 @@ def test_long_texts_are_sliced(monkeypatch):
     assert [int(x) for h in m.shingle_hashes(text) for x in h] == whole
 
 
+def dropped(docs, id_col="doc_id", **more):
+    """The ids of the rows that near_copies doesn't keep; all others stay."""
+    rows, number = simhash.numbered(docs, id_col)
+    got = simhash.near_copies(rows, number, id_col, **more)
+    return sorted(r[id_col] for r in rows.join(got.where("not kept"), number).collect())
+
+
 def test_near_copies(spark):
     base = words(400, 11).split()
     rows = [(100, " ".join(base)), (101, " ".join(base[:200] + ["other"] + base[201:])), (102, words(400, 12)), (103, ""), (104, None), (105, words(400, 13)), (90, " ".join(base[:399] + ["end"]))]
-    got = {r.doc_id: r.kept for r in simhash.near_copies(documents(spark, rows), ["doc_id"]).collect()}
-    assert got == {100: False, 101: False, 102: True, 105: True, 90: True}
+    assert dropped(documents(spark, rows)) == [100, 101]
+    clash = documents(spark, rows).withColumnRenamed("lang", "_w_n").withColumnRenamed("source", "_n")
+    assert dropped(clash) == [100, 101]
+
+
+def test_near_copies_with_ids_that_name_no_row(spark):
+    base = words(400, 11).split()
+    near = " ".join(base[:200] + ["other"] + base[201:])
+    rows = [(5, " ".join(base)), (5, near), (None, near), (None, None), (7, words(300, 14)), (7, words(300, 14))]
+    docs = documents(spark, rows)
+    rows, number = simhash.numbered(docs, "doc_id")
+    got = rows.join(simhash.near_copies(rows, number).where("not kept").select(number), number, "left_anti").collect()
+    assert sorted((str(r.doc_id), r.text is None) for r in got) == [("5", False), ("7", False), ("None", True)]
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    rows, number = simhash.numbered(named, "doc_id")
+    assert rows.join(simhash.near_copies(rows, number).where("not kept").select(number), number, "left_anti").count() == 3
 
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
-    assert simhash.near_copies(empty(spark), ["doc_id"]).collect() == []
+    assert dropped(empty(spark)) == []
 
 
 def test_near_copies_are_of_sets(spark):
     line = words(24, 500)
     rows = [(1, words(300, 501) + f" {line}" * 20), (2, words(300, 502) + f" {line}" * 20), (3, words(300, 503) + f" {line}" * 2), (4, words(300, 503) + f" {line}" * 12)]
-    got = {r.doc_id: r.kept for r in simhash.near_copies(documents(spark, rows), ["doc_id"]).collect()}
-    assert got == {1: True, 2: True, 3: True, 4: False}
+    assert dropped(documents(spark, rows)) == [4]
 
 
 def edited(text, n, seed):
@@ -101,22 +121,52 @@ def edited(text, n, seed):
 def test_near_copies_at_the_limit(spark):
     base = [words(404, 700 + i) for i in range(60)]  # 400 shingles; 8 edits leave 360 of 440 alike (0.818), 9 edits 355 of 445 (0.798)
     rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, edited(t, 8 + i % 2, i)) for i, t in enumerate(base)]
-    got = {r.doc_id: r.kept for r in simhash.near_copies(documents(spark, rows), ["doc_id"]).collect()}
-    assert {i for i, kept in got.items() if not kept} == {1000 + i for i in range(0, 60, 2)}
+    assert dropped(documents(spark, rows)) == [1000 + i for i in range(0, 60, 2)]
+
+
+def alike(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.encode().lower().split(), b.encode().lower().split()))
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def drifting(n, seed):
+    """Texts of a chain of edits, some shorter or longer: neighbours are alike, distant ones aren't."""
+    r = random.Random(seed)
+    w, out = words(r.randint(8, 120), seed).split(), []
+    for i in range(n):
+        out.append(" ".join(w))
+        w = list(w)
+        w[r.randrange(len(w))] = f"edit{seed}x{i}"
+        if r.random() < 0.2:
+            w += [f"more{i}"] * r.randint(1, 3)
+    return out
+
+
+def test_near_copies_against_brute_force(spark):
+    line = words(12, 900)
+    some = [t for k in range(12) for t in drifting(9, k)] + [words(n % 9 + 1, 950 + n) for n in range(30)] + [words(30, 40 + k) + " " + line for k in range(20)] + ["a b c d e", "A b  c D e", "a b c", "a b c d"]
+    rows = list(enumerate(some))
+    root = roots(range(len(some)), lambda a, b: bool(some[a]) and alike(some[a], some[b]))
+    want = [i for i in range(len(some)) if root[i] != i]
+    assert dropped(documents(spark, rows)) == want and len(want) > 40
+    assert dropped(documents(spark, rows).repartition(11)) == want
+
+
+def test_near_copies_of_the_test_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts_ = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    sets = {}
+    for i, t in texts_:
+        w = t.encode().lower().split()
+        if w:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = roots(sorted(sets), lambda a, b: min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    assert dropped(docs) == [i for i in sorted(sets) if root[i] != i]
 
 
 def test_large_buckets_are_whole(spark):
-    # all sets hold shingle 1, the first in order; of 60 only 7 and 43, 11 and 29 are alike
-    sets = [{1} | {1000 * (n + 1) + i for i in range(9)} for n in range(60)]
-    for a, b in ((7, 43), (11, 29)):
-        sets[b] = {1} | set(sorted(sets[a] - {1})[1:]) | {5}
-        sets[a], sets[b] = sets[a] | {2}, sets[b] | {2}
-    got = simhash._all_pairs(buckets(spark, [(n, 1, 10, 0, n) for n in range(60)]), 0.8)
-    assert got.count() == 60 * 59 // 2
-    # in any order a head is three of ten or eleven; here the smallest numbers
-    heads = spark.createDataFrame([(n, str(n).encode(), len(s), sorted(s)[:4], [0]) for n, s in enumerate(sets)], "_n long, _name binary, _size int, _head array<long>, _mark array<long>")
-    whole = spark.createDataFrame([(n, sorted(s)) for n, s in enumerate(sets)], "_n long, _set array<long>")
-    assert {(r.u, r.v) for r in simhash.similar_groups(heads, lambda some: whole.join(some, "_n")).collect()} == {(43, 7), (29, 11)}
+    got = simhash._all_pairs(buckets(spark, [(n, 1, 10, 0, n) for n in range(200)]), 0.8)
+    assert got.count() == got.distinct().count() == 200 * 199 // 2
 
 
 def buckets(spark, rows):

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Each node has one neighbour, which has none: the edges are stars around the smallest nodes."""
+    centres = edges.select(F.col("v").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("m")).distinct()
+    ends = edges.select(F.col("u").alias("n"), F.lit(0).alias("c"), F.lit(1).alias("m"))
+    return ends.unionByName(centres).groupBy("n").agg(F.sum("m").alias("m"), F.max("c").alias("c")).where("m > 1 or (m > 0 and c > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). One row (u, v) for each node u that is not the smallest of its component; v is the smallest."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,7 +29,4 @@ def components(edges: DataFrame) -> DataFrame:
         met = edges.join(least, "u")
         edges = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
         edges = materialize(edges, "small")
-        before, state = state, _state(edges)
-        if before == state:
-            break
     return edges

@@ -53,14 +53,6 @@ def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> Iterato
         yield np.array([xxh64_intdigest(b" ".join(kept), seed)], dtype=np.uint64)
 
 
-def distinct_shingles(text: bytes, words: int):
-    """The sorted distinct XXH64 of a text's shingles."""
-    import numpy as np
-
-    parts = [np.unique(h) for h in shingle_hashes(text, words)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
 def majority(hashes: Iterator, table) -> int:
     """The bits set in over half the hashes, as a signed 64-bit integer. table: the bits of each byte."""
     import numpy as np
@@ -145,104 +137,106 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Near copies by similarity: sets of shingles
 
-FINE_WORDS, SIMILARITY, STARS, CHUNK = 5, 0.8, (16, 1), 64
-FLUSH, OFTEN, MARK = 2_000_000, 8, 1024
+FINE_WORDS, SIMILARITY, CHUNK, SLICES = 5, 0.8, 64, 3
+MARK, REFERENCES = 1024, 32
 
 
-def _sets(column, words: int) -> list:
-    import pyarrow as pa
+def references(n: int = REFERENCES, bits: int = MARK) -> list[bytes]:
+    """The reference fingerprints that marks are measured against, from a rule: SHAKE-256 of their numbers."""
+    return [hashlib.shake_256(f"reference {j}".encode()).digest(bits // 8) for j in range(n)]
 
-    return [distinct_shingles(t, words) for t in column.cast(pa.binary()).to_pylist()]
 
+def numbered(docs: DataFrame, id_col: str, name: str = "_w_n") -> tuple[DataFrame, str]:
+    """docs with a column that numbers its rows, and that column's name: the id where it is a different integer in each row,
+    else a written copy's row numbers. Both are the same in every later scan."""
+    while name in docs.columns:
+        name += "_"
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        if docs.groupBy(F.col(id_col)).agg(F.count("*").alias("_m")).where(f"_m > 1 or `{id_col}` is null").isEmpty():
+            return docs.withColumn(name, F.col(id_col).cast("long")), name
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
-def shingle_sets(docs: DataFrame, text_col: str, words: int = FINE_WORDS) -> DataFrame:
-    """_n, _set: the sorted distinct XXH64 of the shingles."""
 
-    def each(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            sets = _sets(b.column(1), words)
-            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)], ["_n", "_set"])
-
-    return docs.select("_n", text_of(text_col).alias("_text")).mapInArrow(each, "_n long, _set array<bigint>")
+def _spare(size, similarity: float):
+    """How many shingles of a set can be missing in a set of this similarity: it has size * similarity or more of them."""
+    import numpy as np
 
+    return size - np.ceil(size * similarity - 1e-9).astype(np.int64)
 
-def often_met(docs: DataFrame, text_col: str, words: int = FINE_WORDS, most: int = 500_000):
-    """Shingles that many texts hold (sorted) and the magnitudes of their counts: what is rare among FLUSH shingles isn't counted.
 
-    Only the order of heads follows from it, and any order gives all pairs; this one keeps buckets small."""
-    import numpy as np
+def _sliced(rows: DataFrame, words: int, similarity: float, slices: int) -> DataFrame:
+    """_n, _left, _g: of every text the shingles of one slice of all hashes; _left: how many more of them could be missing elsewhere
+    than the slice has. A text that has none to spare is marked by a _g below MARK."""
 
     def each(batches):
+        import numpy as np
         import pyarrow as pa
 
-        held, size = [], 0
-
-        def out():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            h, n = h[n >= OFTEN], n[n >= OFTEN]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["_g", "n"])
+        from .shingles import shingle_sets
 
         for b in batches:
-            held += _sets(b.column(0), words)
-            size += sum(map(len, held[len(held) - b.num_rows :]))
-            if size > FLUSH:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    counted = docs.select(text_of(text_col)).mapInArrow(each, "_g long, n long").groupBy("_g").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c"))
-    counted = materialize(counted, "often")
-    total, least = 0, 64
-    for c, n in sorted(((r["c"], r["count"]) for r in counted.groupBy("c").count().collect()), reverse=True):
-        if total + n > most:
-            break
-        total, least = total + n, c
-    got = counted.where(F.col("c") >= least).toArrow()
-    h, c = got.column("_g").to_numpy(), got.column("c").to_numpy().astype(np.int8)
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def heads(docs: DataFrame, keys: list[str], text_col: str, words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The keys, _name (128 bits that name the set of shingles), _size, _head: the set's first shingles, rarest first, _mark: the parity
-    of the number of shingles in each of MARK cells, in which two sets differ in no more cells than in shingles.
-
-    Two sets of this similarity have one of their first shingles in common: a set of n has n * similarity or more in common with the
-    other, so in an order that is the same for all sets its first n - ceil(n * similarity) + 1 can't all be missing there."""
-    import numpy as np
+            row, h = shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), words)
+            size = np.bincount(row, minlength=b.num_rows)
+            part = (h >> np.uint64(20)) % np.uint64(slices) == 0
+            row, h = row[part], h[part]
+            left = _spare(size, similarity) - np.bincount(row, minlength=b.num_rows)
+            always = np.flatnonzero((left >= 0) & (size > 0))
+            n = b.column(0).to_numpy(zero_copy_only=False)
+            at = np.concatenate([row, always])
+            yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(left[at]), pa.array(np.concatenate([h.view(np.int64), n[always] & (MARK - 1)]))], ["_n", "_left", "_g"])
+
+    return rows.select("_n", "_text").mapInArrow(each, "_n long, _left long, _g long")
+
+
+def _in_question(rows: DataFrame, words: int, similarity: float, slices: int = SLICES) -> DataFrame:
+    """_n of the texts that can have a similar one. Already in a slice of the hashes, most texts have more shingles that no other
+    text has than a similar text could lack; only the others are looked at any further."""
+    sliced = _sliced(rows, words, similarity, slices)
+    again = materialize(sliced.groupBy("_g").count().where(f"count > 1 or (_g >= 0 and _g < {MARK})").select("_g"), "again")
+    met = sliced.join(again, "_g", "left_semi").groupBy("_n").agg(F.count("*").alias("_m"), F.first("_left").alias("_left"))
+    return materialize(met.where("_m + _left >= 0").select("_n"), "in_question")
+
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    sent = docs.sparkSession.sparkContext.broadcast(often_met(docs, text_col, words))
+def similar_sets(rows: DataFrame, words: int, kind: str) -> DataFrame:
+    """_n, _id, _size, _set (hashes of distinct shingles), _name (128 bits of the set), _fp (SimHash), _mark (the parity of the number
+    of shingles in each of MARK cells: two sets differ in no more cells than in shingles), _far (the mark's distances to the references)."""
 
     def each(batches):
+        import numpy as np
         import pyarrow as pa
 
-        known, magnitude = sent.value
+        from .shingles import shingle_sets
+
+        refs = np.unpackbits(np.frombuffer(b"".join(references()), np.uint8).reshape(REFERENCES, -1), axis=1, bitorder="little").astype(np.float32)
         for b in batches:
-            sets = _sets(b.column(len(keys)), words)
-            names = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            size = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            common = np.zeros(len(flat), np.int8)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                common = np.where(known[at] == flat, magnitude[at], common)
-            row = np.repeat(np.arange(len(size)), size)
-            odd = np.bincount(row * MARK + (flat & (MARK - 1)), minlength=len(size) * MARK) % 2
-            mark = pa.array(np.packbits(odd.astype(bool), bitorder="little").view("<i8"))
-            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (MARK // 64), pa.int32()), mark)
-            flat = flat[np.lexsort((flat, common, row))]
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            length = np.minimum(size, size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(flat[place < np.repeat(length, size)]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], names, pa.array(size.astype(np.int32)), lists, marks], [*keys, "_name", "_size", "_head", "_mark"])
-
-    return docs.select(*keys, text_of(text_col).alias("_text")).mapInArrow(each, f"{kinds}, _name binary, _size int, _head array<bigint>, _mark array<bigint>")
+            row, h = shingle_sets(b.column(2).cast(pa.binary()).to_pylist(), words)
+            size = np.bincount(row, minlength=b.num_rows)
+            ends = np.cumsum(np.append(0, size))
+            names, fps = [], np.zeros(b.num_rows, np.int64)
+            for k, (s, e) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                names.append(hashlib.blake2b(h[s:e].tobytes(), digest_size=16).digest())
+                ones = sum(np.unpackbits(h[x : min(x + 65536, e)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for x in range(s, e, 65536))
+                fps[k] = np.packbits(np.broadcast_to(ones, 64) * 2 > e - s, bitorder="little").view("<i8")[0]
+            odd = np.bincount(row * MARK + (h & np.uint64(MARK - 1)).astype(np.int64), minlength=b.num_rows * MARK).reshape(-1, MARK) % 2
+            far = odd.sum(1)[:, None] + refs.sum(1)[None, :] - 2 * (odd.astype(np.float32) @ refs.T)
+            lists = lambda flat, each: pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * each), pa.array(flat))
+            mark = lists(np.packbits(odd.astype(bool), axis=1, bitorder="little").view("<i8").ravel(), MARK // 64)
+            sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(size.astype(np.int32)), sets, pa.array(names, pa.binary()), pa.array(fps), mark, lists(far.astype(np.int16).ravel(), REFERENCES)], ["_n", "_id", "_size", "_set", "_name", "_fp", "_mark", "_far"])
+
+    return rows.select("_n", "_id", "_text").mapInArrow(each, f"_n long, _id {kind}, _size int, _set array<bigint>, _name binary, _fp long, _mark array<bigint>, _far array<smallint>")
+
+
+def _heads(sets: DataFrame, similarity: float) -> DataFrame:
+    """_n, _size, _at, _g: the first shingles of each set, those first that the fewest sets have, without those that no other set has.
+
+    Two sets of this similarity have one of their first shingles in common: a set can't lack more than _spare of its shingles in the
+    other, so in an order that is the same for all sets its first _spare + 1 can't all be missing there."""
+    each = sets.select("_n", "_size", F.explode("_set").alias("_g"))
+    often = each.groupBy("_g").agg(F.count("*").alias("_c")).where("_c > 1")
+    lists = each.join(often, "_g").groupBy("_n", "_size").agg(F.sort_array(F.collect_list(F.struct("_c", "_g"))).alias("_l"))
+    lists = lists.withColumn("_own", F.col("_size") - F.size("_l")).withColumn("_need", F.expr(f"_size - cast(ceil(_size * {similarity!r}D - 1e-9D) as int) + 1 - _own")).where("_need > 0")
+    return lists.select("_n", "_size", "_own", F.posexplode(F.expr("slice(_l, 1, _need)")).alias("_p", "_e")).select("_n", "_size", (F.col("_own") + F.col("_p")).alias("_at"), "_e._g")
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -251,76 +245,77 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(several, "_g")
 
 
-def _star_pairs(rows: DataFrame, one_in: int) -> DataFrame:
-    """Of one in so many buckets: one of the members, another in each bucket, with one member of each other component."""
-    met = _several(rows.where(F.pmod(F.xxhash64("_g"), F.lit(one_in)) == 0)).groupBy("_g", "_root").agg(F.min("_n").alias("_n"))
-    middle = met.groupBy("_g").agg(F.min_by("_n", F.xxhash64("_n", "_g")).alias("_m"))
-    pairs = met.join(middle, "_g").where("_n <> _m")
-    return pairs.select(F.least("_n", "_m").alias("u"), F.greatest("_n", "_m").alias("v")).distinct()
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of sets whose SimHash fingerprints differ in at most LIMIT bits, found by the pivot tables; equal ones through their first."""
+    firsts = materialize(sets.groupBy("_fp").agg(F.min("_n").alias("_first")), "firsts")
+    equal = sets.select("_n", "_fp").join(firsts, "_fp").where("_n <> _first").select(*_pair("_n", "_first"))
+    u, v = firsts.select(F.col("_fp").alias("u"), F.col("_first").alias("_nu")), firsts.select(F.col("_fp").alias("v"), F.col("_first").alias("_nv"))
+    return links(firsts).join(u, "u").join(v, "v").select(*_pair("_nu", "_nv")).unionByName(equal)
+
+
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """One of the members of a bucket, another in each bucket, with each other member."""
+    middle = rows.groupBy("_g").agg(F.min_by("_n", F.xxhash64("_n", "_g")).alias("_m"))
+    return rows.join(middle, "_g").where("_n <> _m").select(*_pair("_n", "_m"))
 
 
 def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """All pairs of a bucket whose members are of different components and can be similar by their sizes and places.
 
     The first shingle that two sets share has what they share behind it: they can't share more than the shorter of the two rests that begin with it."""
-    met = materialize(_several(rows), "met")
-    sizes = met.groupBy("_g", "_root").agg(F.ceil(F.count("*") / CHUNK).alias("_m"))
-    lists = met.join(sizes, ["_g", "_root"]).withColumn("_c", F.pmod(F.xxhash64("_n"), F.col("_m"))).groupBy("_g", "_root", "_c").agg(F.collect_list(F.struct("_n", "_size", "_at")).alias("_l"))
+    sizes = rows.groupBy("_g", "_root").agg(F.ceil(F.count("*") / CHUNK).alias("_m"))
+    lists = rows.join(sizes, ["_g", "_root"]).withColumn("_c", F.pmod(F.xxhash64("_n"), F.col("_m"))).groupBy("_g", "_root", "_c").agg(F.collect_list(F.struct("_n", "_size", "_at")).alias("_l"))
     lists = materialize(lists, "lists")
     other = lists.select("_g", F.col("_root").alias("_other"), F.col("_l").alias("_k"))
-    fits = f"least(x._size - x._at, y._size - y._at) >= {similarity} / (1 + {similarity}) * (x._size + y._size) - 1e-6"
+    fits = f"least(x._size - x._at, y._size - y._at) >= {similarity / (1 + similarity)!r}D * (x._size + y._size) - 1e-6D"
     near = F.expr(f"flatten(transform(_l, x -> transform(filter(_k, y -> {fits}), y -> struct(least(x._n, y._n) as u, greatest(x._n, y._n) as v))))")
-    return lists.join(other, "_g").where("_root < _other").select(F.explode(near).alias("_e")).select("_e.u", "_e.v").distinct()
-
-
-def _verified(pairs: DataFrame, firsts: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """The pairs whose sets have this Jaccard similarity or more. Sets are made only for pairs whose marks allow it, which loses none."""
-    a = firsts.select(F.col("_n").alias("u"), F.col("_size").alias("_za"), F.col("_mark").alias("_ma"))
-    b = firsts.select(F.col("_n").alias("v"), F.col("_size").alias("_zb"), F.col("_mark").alias("_mb"))
-    apart = "aggregate(zip_with(_ma, _mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    close = pairs.join(a, "u").join(b, "v").where(f"{apart} <= (1 - {similarity}) / (1 + {similarity}) * (_za + _zb) + 1e-6")
-    close = materialize(close.select("u", "v"), "close")
-    sets = materialize(sets_of(close.select(F.explode(F.array("u", "v")).alias("_n")).distinct()), "compared")
-    a = sets.select(F.col("_n").alias("u"), F.col("_set").alias("_sa"))
-    b = sets.select(F.col("_n").alias("v"), F.col("_set").alias("_sb"))
-    both = close.join(a, "u").join(b, "v")
-    return both.where(f"size(array_intersect(_sa, _sb)) * (1 + {similarity}) >= {similarity} * (size(_sa) + size(_sb)) - 1e-6").select("u", "v")
-
-
-def similar_groups(firsts: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
-    """firsts: _n (long, distinct), _name, _size, _head, _mark (see heads). u, v: components of sets of at least `similarity` (see components).
-
-    sets_of: gives _n and _set for a table of _n. Candidates share a shingle of their heads. In the rounds of STARS a bucket's members
-    meet one of them, which joins what is dense without all of its pairs; at last all pairs of a bucket that are not yet of one
-    component are compared, so none is missed."""
-    named = firsts.groupBy("_name").agg(F.min("_n").alias("v"), F.count("*").alias("_m")).where("_m > 1").select("_name", "v")
-    links = materialize(firsts.select("_name", F.col("_n").alias("u")).join(named, "_name").where("u <> v").select("u", "v"), "same")
-    tokens = firsts.select("_n", "_size", F.posexplode("_head").alias("_at", "_g")).withColumn("_root", F.col("_n"))
-    tokens = materialize(_several(tokens).join(links.select(F.col("u").alias("_n")), "_n", "left_anti"), "shared")
-    for one_in in (*STARS, None):
-        pairs = _star_pairs(tokens, one_in) if one_in else _all_pairs(tokens, similarity)
-        links = links.unionByName(materialize(_verified(materialize(pairs, "pairs"), firsts, sets_of, similarity), "links"))
-        linked = components(links)
-        if one_in:
-            roots = linked.select(F.col("u").alias("_n"), F.col("v").alias("_to"))
-            rooted = tokens.drop("_root").join(roots, "_n", "left").withColumn("_root", F.coalesce("_to", "_n")).drop("_to")
-            tokens = materialize(_several(rooted), "shared")
-    return linked
-
-
-def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text", id_col: str = "doc_id", words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The keys, _group (a number) and kept: of each group of near copies the row with the smallest id (then smallest keys) stays.
-
-    keys name a row; texts with equal sets of shingles are near copies of each other. A text without words is in no group."""
-    rows = docs.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.length(F.trim(F.regexp_replace(text_of("_t"), r"[\t\n\x0B\f\r]", " "))) > 0)
-    firsts = materialize(heads(rows, [*keys, "_id"], "_t", words, similarity).withColumn("_n", F.monotonically_increasing_id()), "heads")
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        asked = some.join(firsts.select("_n", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "_n")
-        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        return shingle_sets(rows.join(asked, same), "_t", words)
-
-    roots = similar_groups(firsts.select("_n", "_name", "_size", "_head", "_mark"), sets_of, similarity).select(F.col("u").alias("_n"), F.col("v").alias("_root"))
-    rows = materialize(firsts.select(*keys, "_id", "_n").join(roots, "_n", "left").withColumn("_group", F.coalesce("_root", "_n")).drop("_root"), "grouped")
-    least = rows.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("_n").alias("n"))).alias("_k"))
-    return rows.join(least, "_group").select(*keys, "_group", (F.col("_n") == F.col("_k.n")).alias("kept"))
+    return lists.join(other, "_g").where("_root < _other").select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have this Jaccard similarity or more. Marks of such sets differ in at most as many cells as the sets do in
+    shingles, and so do their distances to any reference (triangle inequality): what differs more is discarded, and no such pair is lost."""
+    a = sets.select(F.col("_n").alias("u"), F.col("_size").alias("_za"), F.col("_far").alias("_fa"), F.col("_mark").alias("_ma"))
+    b = sets.select(F.col("_n").alias("v"), F.col("_size").alias("_zb"), F.col("_far").alias("_fb"), F.col("_mark").alias("_mb"))
+    limit = f"{(1 - similarity) / (1 + similarity)!r}D * (_za + _zb) + 1e-6D"  # doubles: decimal literals would round
+    apart = "aggregate(zip_with(_fa, _fb, (x, y) -> abs(x - y)), 0, (s, x) -> greatest(s, cast(x as int)))"
+    differ = "aggregate(zip_with(_ma, _mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    close = pairs.distinct().join(a, "u").join(b, "v").where(f"{apart} <= {limit}").where(f"{differ} <= {limit}")
+    close = materialize(close.select("u", "v", "_za", "_zb"), "close")
+    both = close.join(sets.select(F.col("_n").alias("u"), F.col("_set").alias("_sa")), "u").join(sets.select(F.col("_n").alias("v"), F.col("_set").alias("_sb")), "v")
+    return materialize(both.where(f"size(array_intersect(_sa, _sb)) * {1 + similarity!r}D >= {similarity!r}D * (_za + _zb) - 1e-6D").select("u", "v"), "links")
+
+
+def near_copies(rows: DataFrame, number: str, id_col: str = "doc_id", text_col: str = "text", words: int = FINE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """rows: with a column that numbers them (see numbered). The number, _group and kept of each row that is in a group of near copies.
+
+    Sets of distinct shingles with a Jaccard similarity of at least `similarity` are linked, all and none else; of a group the row with the
+    smallest id (nulls last, then the smallest number) is kept. A text without words is in no group.
+
+    Fingerprints that differ in at most LIMIT bits give the first candidates; similar sets may differ in more, so that what shares a
+    shingle of its heads follows: each member of such a bucket meets one other, and at last all pairs of a bucket that aren't yet of one
+    component. Each round's pairs pass the references, the marks and the sets."""
+    rows = rows.select(F.col(number).alias("_n"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    asked = _in_question(rows, words, similarity)
+    sets = materialize(similar_sets(rows.join(asked, "_n", "left_semi"), words, rows.schema["_id"].dataType.simpleString()), "sets")
+    named = sets.groupBy("_name").agg(F.min("_n").alias("v"), F.count("*").alias("_m")).where("_m > 1").select("_name", "v")
+    same = materialize(sets.select("_name", F.col("_n").alias("u")).join(named, "_name").where("u <> v").select("u", "v"), "same")
+    firsts = sets.join(same.select(F.col("u").alias("_n")), "_n", "left_anti")
+
+    heads = materialize(_heads(firsts.select("_n", "_size", "_set"), similarity), "heads")
+    shared = materialize(_several(heads.withColumn("_root", F.col("_n"))), "shared")
+    pairs = _fingerprint_pairs(firsts.select("_n", "_fp")).unionByName(_star_pairs(shared))
+    found = same.unionByName(_verified(pairs, sets, similarity))
+    roots = components(found).select(F.col("u").alias("_n"), F.col("v").alias("_to"))
+    rooted = shared.drop("_root").join(roots, "_n", "left").withColumn("_root", F.coalesce("_to", "_n")).drop("_to")
+    shared = materialize(_several(rooted), "shared")
+    linked = components(found.unionByName(_verified(_all_pairs(shared, similarity), sets, similarity)))
+
+    group = linked.select(F.col("u").alias("_n"), F.col("v").alias("_group")).unionByName(linked.select(F.col("v").alias("_n"), F.col("v").alias("_group")).distinct())
+    group = materialize(group.join(sets.select("_n", "_id"), "_n"), "grouped")
+    least = group.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("id"), F.col("_n").alias("n"))).alias("_k"))
+    return group.join(least, "_group").select(F.col("_n").alias(number), "_group", (F.col("_n") == F.col("_k.n")).alias("kept"))
