@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import exact_dedup, packing, quality, simhash, suffix_dedup
-from weir.llm.common import fold, materialize, shared_dir, small_batches, table, text_of
+from weir.llm.common import fold, materialize, shared_dir, small_batches, table
 from weir.llm.queries import tokenizer
 
 #: A passage is repeated from this many bytes on: some 30 words, so that passages of 50 words are caught with their edges.
@@ -36,24 +36,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return numbered.join(gone, "_w_row", "left_anti").select(*docs.columns)
 
 
-KEYS = ["_w_k1", "_w_k2"]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_w_k1": F.xxhash64("doc_id", text_of()), "_w_k2": F.xxhash64(text_of(), F.lit(1), "doc_id")})
-
-
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
     small_batches(spark)
-    keyed = _keyed(docs)
-    decided = materialize(simhash.near_copies(keyed, KEYS), "decided").groupBy(*KEYS).agg(F.max("kept").alias("_any"), F.count("*").alias("_rows"))
-    kept = keyed.join(decided.where("not _any").select(*KEYS), KEYS, "left_anti")
-    repeated = decided.where("_any and _rows > 1").select(*KEYS)
-    if not repeated.isEmpty():  # rows repeated in full have one key
-        repeated = materialize(repeated, "repeated")
-        kept = kept.join(repeated, KEYS, "left_anti").unionByName(kept.join(repeated, KEYS, "left_semi").dropDuplicates(KEYS))
-    return kept.select(*docs.columns)
+    rows, number = simhash.numbered(docs, "doc_id")
+    gone = materialize(simhash.near_copies(rows, number).where("not kept").select(number), "near_copies")
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
