@@ -170,7 +170,7 @@ def test_large_buckets_are_whole(spark):
 
 
 def buckets(spark, rows):
-    return spark.createDataFrame(rows, "_n long, _g long, _size int, _at int, _root long")
+    return spark.createDataFrame([(*r, [0, 0]) for r in rows], "_n long, _g long, _size int, _at int, _root long, _mark array<long>")
 
 
 def test_members_of_a_component_are_all_compared(spark):

@@ -263,17 +263,29 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(middle, "_g").where("_n <> _m").select(*_pair("_n", "_m"))
 
 
+def _limit(similarity: float, sizes: str) -> str:
+    """In how many shingles two sets of this similarity can differ. Doubles: decimal literals would round."""
+    return f"{(1 - similarity) / (1 + similarity)!r}D * ({sizes}) + 1e-6D"
+
+
+def _differ(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, p) -> s + p)"
+
+
 def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of a bucket whose members are of different components and can be similar by their sizes and places.
+    """rows: _n, _g, _size, _at, _root, _mark. The pairs of a bucket whose members are of different components and can be similar by
+    their sizes, places and marks: blocks of some CHUNK members are compared, so that only such pairs become rows.
 
     The first shingle that two sets share has what they share behind it: they can't share more than the shorter of the two rests that begin with it."""
-    sizes = rows.groupBy("_g", "_root").agg(F.ceil(F.count("*") / CHUNK).alias("_m"))
-    lists = rows.join(sizes, ["_g", "_root"]).withColumn("_c", F.pmod(F.xxhash64("_n"), F.col("_m"))).groupBy("_g", "_root", "_c").agg(F.collect_list(F.struct("_n", "_size", "_at")).alias("_l"))
+    sizes = rows.groupBy("_g").agg(F.ceil(F.count("*") / CHUNK).alias("_m"))
+    lists = rows.join(sizes, "_g").withColumn("_c", F.pmod(F.xxhash64("_n"), F.col("_m"))).groupBy("_g", "_c").agg(F.collect_list(F.struct("_n", "_size", "_at", "_root", "_mark")).alias("_l"))
     lists = materialize(lists, "lists")
-    other = lists.select("_g", F.col("_root").alias("_other"), F.col("_l").alias("_k"))
+    other = lists.select("_g", F.col("_c").alias("_d"), F.col("_l").alias("_k"))
+    once = "x._root <> y._root and (_c < _d or x._n < y._n)"
     fits = f"least(x._size - x._at, y._size - y._at) >= {similarity / (1 + similarity)!r}D * (x._size + y._size) - 1e-6D"
-    near = F.expr(f"flatten(transform(_l, x -> transform(filter(_k, y -> {fits}), y -> struct(least(x._n, y._n) as u, greatest(x._n, y._n) as v))))")
-    return lists.join(other, "_g").where("_root < _other").select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
+    close = f"{_differ('x._mark', 'y._mark')} <= {_limit(similarity, 'x._size + y._size')}"
+    near = F.expr(f"flatten(transform(_l, x -> transform(filter(_k, y -> {once} and {fits} and {close}), y -> struct(least(x._n, y._n) as u, greatest(x._n, y._n) as v))))")
+    return lists.join(other, "_g").where("_c <= _d").select(F.explode(near).alias("_e")).select("_e.u", "_e.v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -281,10 +293,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     shingles, and so do their distances to any reference (triangle inequality): what differs more is discarded, and no such pair is lost."""
     a = sets.select(F.col("_n").alias("u"), F.col("_size").alias("_za"), F.col("_far").alias("_fa"), F.col("_mark").alias("_ma"))
     b = sets.select(F.col("_n").alias("v"), F.col("_size").alias("_zb"), F.col("_far").alias("_fb"), F.col("_mark").alias("_mb"))
-    limit = f"{(1 - similarity) / (1 + similarity)!r}D * (_za + _zb) + 1e-6D"  # doubles: decimal literals would round
+    limit = _limit(similarity, "_za + _zb")
     apart = "aggregate(zip_with(_fa, _fb, (x, y) -> abs(x - y)), 0, (s, x) -> greatest(s, cast(x as int)))"
-    differ = "aggregate(zip_with(_ma, _mb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    close = pairs.distinct().join(a, "u").join(b, "v").where(f"{apart} <= {limit}").where(f"{differ} <= {limit}")
+    close = pairs.distinct().join(a, "u").join(b, "v").where(f"{apart} <= {limit}").where(f"{_differ('_ma', '_mb')} <= {limit}")
     close = materialize(close.select("u", "v", "_za", "_zb"), "close")
     both = close.join(sets.select(F.col("_n").alias("u"), F.col("_set").alias("_sa")), "u").join(sets.select(F.col("_n").alias("v"), F.col("_set").alias("_sb")), "v")
     return materialize(both.where(f"size(array_intersect(_sa, _sb)) * {1 + similarity!r}D >= {similarity!r}D * (_za + _zb) - 1e-6D").select("u", "v"), "links")
@@ -312,7 +323,7 @@ def near_copies(rows: DataFrame, number: str, id_col: str = "doc_id", text_col:
     found = same.unionByName(_verified(pairs, sets, similarity))
     roots = components(found).select(F.col("u").alias("_n"), F.col("v").alias("_to"))
     rooted = shared.drop("_root").join(roots, "_n", "left").withColumn("_root", F.coalesce("_to", "_n")).drop("_to")
-    shared = materialize(_several(rooted), "shared")
+    shared = _several(rooted).join(sets.select("_n", "_mark"), "_n")
     linked = components(found.unionByName(_verified(_all_pairs(shared, similarity), sets, similarity)))
 
     group = linked.select(F.col("u").alias("_n"), F.col("v").alias("_group")).unionByName(linked.select(F.col("v").alias("_n"), F.col("v").alias("_group")).distinct())
