@@ -20,6 +20,12 @@ def test_lm_base_and_counts(spark):
     assert all(r.score < 1e-9 for r in got)
 
 
+def test_lm_scores_held_out_texts_above_base(spark):
+    got = [r for r in lm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out and r.n_tokens > 1]
+    assert len(got) > 50 and sum(r.score for r in got) > 0.99 * sum(r.base_score for r in got)  # log10: closer to zero is better
+    assert np.mean([r.score > r.base_score for r in got]) > 0.85
+
+
 def test_lm_learns_order(spark):
     r = random.Random(3)
     rows = []
@@ -57,6 +63,27 @@ def test_quality(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
 
 
+def test_quality_of_the_test_tables(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    got = quality.classify(read("documents"), read("labels")).where("held_out").join(read("labels").where("quality is not null"), "doc_id").collect()
+    good, bad = [r.score for r in got if r.quality], [r.score for r in got if not r.quality]
+    assert len(bad) > 100 and np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.97
+    assert np.mean(np.array(good) >= 0.7) > 0.99 and np.mean(np.array(bad) < 0.7) > 0.95
+
+
+def test_quality_of_repeated_and_tied_texts(spark):
+    rows = [(i, words(60, i % 20)) for i in range(200)] + [(i, (words(2, i % 5) + " ") * 40) for i in range(200, 300)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    again = quality.classify(docs.repartition(7), labels.repartition(5)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(dict(rows)[r.doc_id], set()).add(round(r.score, 6))
+    assert all(len(s) == 1 for s in by.values())
+    assert {r.doc_id: round(r.score, 4) for r in got} == {r.doc_id: round(r.score, 4) for r in again}
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.classify(documents(spark), none).collect()} == {0.5}
@@ -83,6 +110,19 @@ def test_neighbours(spark):
         hit += len({r.vec_id for r in mine} & set(best.tolist()))
         n += 10
     assert hit / n >= 0.9
+    exact = ann.exact_search(v, v.where("_id % 500 = 0"), block=2).collect()
+    for q in range(0, 3000, 500):
+        dist = np.sqrt(((d - d[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        assert [r.vec_id for r in sorted((r for r in exact if r.query_id == q), key=lambda r: r.rank)] == np.lexsort((np.arange(3000), dist))[:10].tolist()
+
+
+def test_queries_alone_in_their_lists(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c * 1000 + rng.normal(size=(n, 8)) for c, n in ((1, 400), (2, 400), (-9, 1), (7, 2))]).astype(np.float32)
+    v = ann.clean(spark.createDataFrame([(i, r.tolist(), "clash", 1) for i, r in enumerate(x)], "vec_id long, embedding array<float>, _q string, _list int"))
+    got = ann.search(v, v.where("_id >= 795"), probes=1).collect()
+    assert all(sum(r.query_id == q for r in got) == 10 for q in range(795, 803))
 
 
 def test_few_vectors(spark):

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -78,6 +79,60 @@ def test_section_counts(spark):
             assert sum(r.n_bytes for r in own) == len((t or "").encode()) and abs(sum(r.n_tokens for r in own) - own[0].doc_tokens) < 1e-6
 
 
+def by_hand(encoding, text, rule):
+    """The tokens of each line, one token and one byte after another."""
+    lines = text.encode().split(b"\n")
+    owner = [k for k, line in enumerate(lines) for _ in range(len(line) + (k < len(lines) - 1))]
+    counts, at = [0.0] * len(lines), 0
+    for i in encoding.encode_ordinary(text):
+        mine = owner[at : at + len(encoding.decode_single_token_bytes(i))]
+        at += len(mine)
+        if rule == "start":
+            counts[mine[0]] += 1
+        elif rule == "end":
+            counts[mine[-1]] += 1
+        elif rule == "most":
+            counts[max(dict.fromkeys(mine), key=lambda k: (mine.count(k), -k))] += 1
+        else:
+            for k in mine:
+                counts[k] += 1 / len(mine)
+    return counts
+
+
+def test_section_counts_against_a_count_by_hand(spark):
+    import base64
+
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    odd = ["a\n\n\n  b\n\n\n\n", "\n", "x = 1;\n\n\n\ny", "é🎉\n\n é🎉\n", words(200, 31).replace(" a", "\n\n  a"), "", "\n\n\n\n\n\n\n\nend"]
+    rows = [(k, t) for k, t in enumerate(odd)]
+    crossed = 0
+    for rule in token_counts.RULES:
+        got = token_counts.section_counts(documents(spark, rows), path, P.PATTERN, rule).collect()
+        for i, t in rows:
+            own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.section)
+            assert np.allclose([r.n_tokens for r in own], by_hand(encoding, t, rule)), (rule, t)
+            assert {r.doc_tokens for r in own} == {len(encoding.encode_ordinary(t))}
+            crossed += sum(r.n_crossing for r in own)
+    assert crossed > 0
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(words(2000, 50) for _ in range(450))  # over the four MB that are looked at together
+    assert len(text) > 4 << 20
+    docs = documents(spark, [(1, text), (2, "short"), (3, text[:300])])
+    got = {r.doc_id: r for r in pieces.encode_digests(docs, P.path("piece_bpe_32k.model")).collect()}
+    assert got[1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[1].n_tokens > 900_000
+    packed = packing.pack(packing.pieces(docs, P.path("word_bpe_49k.json"))).collect()
+    mine = sorted((r for r in packed if r["_id"] == 1), key=lambda r: r.piece)
+    assert all(r.length == 4096 for r in mine[:-1]) and [r.start for r in mine] == list(range(0, 4096 * len(mine), 4096))
+    total = token_counts.section_counts(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).where("doc_id = 1").first()
+    assert total.n_tokens == total.doc_tokens > 900_000
+
+
 def test_boundary_rules():
     ends, bounds = np.array([3, 9, 10]), np.array([4, 4, 7, 10])
     assert token_counts.allocate(ends, bounds, "start")[0].tolist() == [2, 0, 0, 1]

@@ -11,7 +11,9 @@ codebooks and sample are broadcast; their size is fixed by LISTS, PARTS, CODES a
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 rows that repeat an id count once (the smallest vector stays); ties go to the smaller id; fewer candidates than k: all that were
-found; no vectors: no rows; other columns are not looked at.
+found; no vectors: no rows; other columns are not looked at. A query whose lists hold fewer than k candidates is searched exactly.
+
+`exact_search` is the exact way: blocks of queries against all vectors.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE, LISTS, PARTS, CODES, CELL = 16384, 1024, 16, 256, 4096
-COVERAGE, RERANK, K, PACK, SURE = 0.97, 400, 10, 64, 4
+COVERAGE, RERANK, K, PACK, SURE, BLOCK = 0.97, 400, 10, 64, 4, 1024
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -183,7 +185,49 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
     met = asked.join(stored, "_list").mapInArrow(scan, "_q long, _id long, _d float")
     first = Window.partitionBy("_q").orderBy("_d", "_id")
     found = met.withColumn("_r", F.row_number().over(first)).where(f"_r <= {rerank}").select("_q", "_id")
+    best = materialize(_nearest(found, vectors, queries, k), "nearest")
+    short = queries.join(best.groupBy(F.col("query_id").alias("_id")).count().where(f"count >= {k}"), "_id", "left_anti")
+    if not short.isEmpty():  # few lists, or few vectors at all
+        short = materialize(short, "short")
+        best = best.join(short.select(F.col("_id").alias("query_id")), "query_id", "left_anti").unionByName(exact_search(vectors, short, k))
+    return best
+
+
+def _nearest(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of the candidates _q, _id, measured on the original vectors."""
     exact = found.join(vectors, "_id").join(queries.select(F.col("_id").alias("_q"), F.col("_v").alias("_qv")), "_q")
     exact = exact.select("_q", "_id", F.expr("sqrt(aggregate(zip_with(_v, _qv, (a, b) -> (double(a) - double(b)) * (double(a) - double(b))), 0D, (s, x) -> s + x))").alias("score"))
     last = Window.partitionBy("_q").orderBy("score", "_id")
     return exact.withColumn("rank", F.row_number().over(last)).where(f"rank <= {k}").select(F.col("_q").alias("query_id"), "rank", F.col("_id").alias("vec_id"), "score")
+
+
+def exact_search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+    """What search gives, without an index: all queries, in packs of some `block`, meet every pack of vectors; of each meeting a
+    query's k nearest go on. The packs, and no single vectors, are dealt over the tasks."""
+    n_v, n_q = vectors.count(), queries.count()
+    packs_v, packs_q = max(1, -(-n_v // CELL)), max(1, -(-n_q // block))
+
+    def dealt(df, packs: int, names: list[str]):
+        cell = df.select(F.pmod(F.xxhash64("_id"), F.lit(packs)).alias("_p"), "_id", "_v").groupBy("_p").agg(F.collect_list(F.struct("_id", "_v")).alias("_l"))
+        return cell.select("_p", F.col("_l._id").alias(names[0]), F.col("_l._v").alias(names[1]))
+
+    v = dealt(vectors, packs_v, ["_vi", "_vv"])
+    q = dealt(queries, packs_q, ["_qi", "_qv"]).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(packs_v - 1)).cast("array<bigint>")))
+
+    def each(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            vi, vv, qi, qv = (b.column(c) for c in ("_vi", "_vv", "_qi", "_qv"))
+            for r in range(b.num_rows):
+                ids, asked = vi[r].values.to_numpy(), qi[r].values.to_numpy()
+                x, y = _matrix(vv[r].values).astype(np.float64), _matrix(qv[r].values).astype(np.float64)
+                for i, (a, row) in enumerate(zip(asked, y)):
+                    d = np.sqrt(((x - row) ** 2).sum(1))
+                    d[ids == a] = np.inf
+                    at = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else (c := np.flatnonzero(d <= np.partition(d, k)[k]))[np.lexsort((ids[c], d[c]))][:k]
+                    at = at[np.isfinite(d[at])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), a)), pa.array(ids[at])], ["_q", "_id"])
+
+    found = q.join(v, "_p").select("_vi", "_vv", "_qi", "_qv").mapInArrow(each, "_q long, _id long")
+    return _nearest(found, vectors, queries, k)

@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text is a bag of terms: its byte pairs, and style terms that say how repetitive it is, what its words end in, how its letters
-and marks are shared out. A latent-semantic space is fitted on a bounded sample of labelled rows (`SAMPLE` of each class, those
+A text is a bag of terms: its byte pairs, and how often its words, pairs of neighbouring words and lines occur: a term for each power
+of two, weighted by the share of what occurs so often. No term is made for a certain kind of text. A latent-semantic space is fitted on a bounded sample of labelled rows (`SAMPLE` of each class, those
 with the smallest hash of their id): weights by inverse document frequency, then the leading eigenvectors of the term Gram
 matrix. The sample's vectors (at most 2 x SAMPLE rows of RANK floats) are broadcast; every document's vector is compared with all
 of them by exact blocked cosine products, and its nearest NEIGHBOURS vote with weights that fall with the distance. A vote also
@@ -15,52 +15,46 @@ are no labels; repeated rows get the same score; an empty table gives an empty r
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_of, word_slices
+from .common import fold, text_of
 
-SAMPLE, PAIRS, RANK, NEIGHBOURS, SHARPNESS, STYLE_WEIGHT = 3000, 1536, 64, 25, 8.0, 1.0
+SAMPLE, PAIRS, RANK, NEIGHBOURS, SHARPNESS, REPEAT_WEIGHT = 3000, 1536, 64, 25, 8.0, 1.0
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 4, 2
-_BINS, _STYLES = 12, 14
+_OFTEN, _KINDS = 20, 3
+
+
+def _spectrum(counts: Iterable[int]):
+    """Of what occurs 1, 2 to 3, 4 to 7, ... times: the share of all."""
+    import numpy as np
+
+    n = np.asarray(counts if isinstance(counts, np.ndarray) else list(counts), np.int64)
+    return np.bincount(np.minimum(np.log2(n).astype(np.int64), _OFTEN - 1), n, _OFTEN) / max(1, n.sum())
 
 
 def terms(text: bytes):
-    """Hashed byte-pair weights and style terms of one text."""
+    """Hashed byte-pair weights and repetition terms of one text."""
     import numpy as np
 
-    out = np.zeros(PAIRS + _BINS * _STYLES, np.float32)
+    from .shingles import mixed, word_sequence
+
+    out = np.zeros(PAIRS + _OFTEN * _KINDS, np.float32)
     if not text:
         return out
-    counts, single = np.zeros(65536, np.int64), np.zeros(256, np.int64)
+    counts = np.zeros(65536, np.int64)
     for s in range(0, len(text), 1 << 22):
         b = np.frombuffer(text, np.uint8, min(len(text) - s, (1 << 22) + 1), s)
         counts += np.bincount((b[:-1].astype(np.int32) << 8) | b[1:], minlength=65536)
-        single += np.bincount(b[: 1 << 22], minlength=256)
     hit = np.flatnonzero(counts)
     np.add.at(out, ((hit * 2654435761) >> 7) % PAIRS, np.log1p(counts[hit]))
-    n = len(text)
-    words: Counter = Counter()
-    pairs, total, ends, last = 0, 0, 0, b""
-    for part in word_slices(text):
-        words.update(part)
-        pairs += len(set(zip(part, part[1:])))
-        ends += sum(not w[-1:].isalnum() and w[-1] < 128 for w in part)
-        total += len(part)
-    lines = text.split(b"\n")
-    total = max(total, 1)
-    upper, lower = int(single[65:91].sum()), int(single[97:123].sum())
-    share = [
-        len(words) / total, (words.most_common(1)[0][1] if words else 0) / total, pairs / total, len(set(lines)) / len(lines),
-        upper / max(1, upper + lower), int(single[48:58].sum()) / n, int(single[[33, 63]].sum()) / n * 4, single[124] / n * 4,
-        int(single[[35, 36, 37, 38, 42]].sum()) / n * 4, ends / total, min(1.0, n / total / 24), int(single[128:].sum()) / n, min(1.0, np.log1p(total) / 10), int(single[[44, 46]].sum()) / n * 8,
-    ]
-    for k, x in enumerate(share):  # shared between the two nearest bins
-        at = min(max(float(x), 0.0), 1.0) ** 0.5 * (_BINS - 1)
-        low = min(int(at), _BINS - 2)
-        out[PAIRS + k * _BINS + low] = low + 1 - at
-        out[PAIRS + k * _BINS + low + 1] = at - low
+    words = word_sequence(text)
+    pairs = mixed(words[:-1]) + words[1:]
+    often = [np.unique(words, return_counts=True)[1], np.unique(pairs, return_counts=True)[1], Counter(text.split(b"\n")).values()]
+    for k, n in enumerate(often):
+        out[PAIRS + k * _OFTEN : PAIRS + (k + 1) * _OFTEN] = _spectrum(n)
     return out
 
 
@@ -86,7 +80,7 @@ class Space:
             return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
         w = x * self.idf
-        return np.hstack([unit(w[:, :PAIRS]), STYLE_WEIGHT * unit(x[:, PAIRS:])])
+        return np.hstack([unit(w[:, :PAIRS]), REPEAT_WEIGHT * unit(x[:, PAIRS:])])
 
     @staticmethod
     def _unit(v):

@@ -71,12 +71,25 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("_id % 100 = 0"))
 
 
+def event_log(turns: DataFrame) -> DataFrame:
+    """The events from which a log's reader gets the turns: what users and others say is drafted and edited; an assistant's text is streamed,
+    regenerated, streamed anew, edited on the way and streamed to its end. The sequence number is the turn and a step in it."""
+    text = F.coalesce("text", F.lit(""))
+    n, third = F.length(text), F.floor(F.length(text) / 3).cast("int")
+    a, ab, b, c = text.substr(F.lit(1), third), text.substr(F.lit(1), 2 * third), text.substr(third + 1, third), text.substr(2 * third + 1, n)
+    half = text.substr(F.lit(1), F.floor(n / 2).cast("int"))
+    steps = lambda *said: F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), x.cast("string").alias("text")) for k, (kind, x) in enumerate(said)])
+    streamed = steps(("delta", half), ("regenerate", F.lit(None)), ("delta", a), ("delta", F.concat(b, F.lit("?"))), ("edit", ab), ("delta", c))
+    drafted = steps(("message", half), ("edit", text))
+    log = turns.withColumn("message", F.monotonically_increasing_id()).withColumn("e", F.explode(F.when(F.col("role") == chat_format.ASSISTANT, streamed).otherwise(drafted)))
+    return log.select("conv_id", F.struct("turn", "e.step").alias("seq"), "e.kind", "message", "role", "e.text")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().alias("message"), "role", "text")
-    return chat_format.digests(chat_format.format_chats(events))
+    return chat_format.digests(chat_format.format_chats(event_log(rows)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

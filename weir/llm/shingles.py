@@ -88,6 +88,14 @@ def _parts(texts: list[bytes]):
         yield held
 
 
+def word_sequence(text: bytes):
+    """The hashes of a text's words in order."""
+    import numpy as np
+
+    found = [word_hashes(b"\n".join(x for _, x in held))[0] for held in _parts([text])]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def shingle_sets(texts: list[bytes], words: int):
     """Arrays number (of the text) and hash: the distinct shingles of each text, in order of both."""
     import numpy as np
