@@ -1,6 +1,12 @@
+import json
+
 import pytest
 
 from weir import cli, report
+from weir.operators.store import ManifestTable
+from weir.sources.generate import PER_DOCUMENT
+from weir.sources.ingest import LoadError
+from weir.sources.spec import parse_spec
 
 
 def test_generate_run_fanout_clean(spark, tmp_path, capsys):
@@ -16,8 +22,18 @@ def test_generate_run_fanout_clean(spark, tmp_path, capsys):
     go("run")
     assert "checked:" in capsys.readouterr().out
     for shape in ("mixed", "docs"):
-        go("fanout", shape, "--parallel", "2")
-        assert "| loan |" in capsys.readouterr().out
+        go("fanout", shape, "--parallel", "2,1")
+        out = capsys.readouterr().out
+        assert "| loan |" in out and "| table | p1 | p2 |" in out and "| 2 at a time |" in out
+    docs = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/w/json_docs").collect()]
+    assert {(len(d["txn"]), len(d["loan"])) for d in docs} == {(PER_DOCUMENT[(k + 1) % 4], PER_DOCUMENT[(k + 2) % 4]) for k in range(4)} and len(docs) == 80
+    # a reject stops the batch before any table changes
+    for shape, bad in (("mixed", '{"hdr": {"file": "loan", "isn": 1, "op": "?", "ts": "2026-01-01 00:00:00", "batch": 1}, "loan": {"created": "2025-11-07"}}'), ("docs", '{"et_id": 900, "loan": [{"hdr": {"isn": null}}]}')):
+        (tmp_path / "w" / f"json_{shape}" / "part-bad.txt").write_text(bad + "\n")
+        with pytest.raises(LoadError, match="'loan': 1"):
+            go("fanout", shape)
+        specs = parse_spec(spec.read_text())
+        assert ManifestTable(spark, f"{tmp_path}/w/loan_fan", specs["loan"]).manifest()["version"] == ManifestTable(spark, f"{tmp_path}/w/loan_base", specs["loan"]).manifest()["version"]
     go("clean")
     assert {p.name for p in (tmp_path / "w").iterdir()} == {"txn_base", "loan_base", "json_records", "json_mixed", "json_docs", "manifest"}
     go("clean", "--all")

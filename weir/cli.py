@@ -47,16 +47,17 @@ def cmd_generate(args) -> None:
     batches = {}
     for t, s in specs.items():
         base = _table(args, t, "base")
-        if base.exists() and not args.force and base.read().count() == sizes[t]:
+        if base.exists() and not args.force and base.count() == sizes[t]:
             print(f"{t}: {count_label(sizes[t])} rows are there")
         else:
             base.destroy()
             base.create(generate.base(spark, s, sizes[t], sizes))
             print(f"{t}: {count_label(sizes[t])} rows generated")
-        batches[t] = generate.changes(spark, s, n, sizes[t], args.mix, sizes, hot_percent=args.hot_percent)
+            base.statistics().show(5)
+        batches[t] = generate.changes(spark, s, n, sizes[t], args.mix, sizes, hot_percent=args.hot_percent, order="_k")
     fact = next((t for t, s in specs.items() if s.fact), next(iter(specs)))
     order = [fact, *(t for t in specs if t != fact)]
-    number = {t: generate.document_number(F.when(F.col("op_code") == "I", F.col("isn") - sizes[t] - 1 + n_upd + n_del).otherwise(F.pmod(F.xxhash64("isn"), F.lit(n))), i + 1) for i, t in enumerate(order)}
+    number = {t: generate.document_number(F.col("_k"), i + 1) for i, t in enumerate(order)}
     for kind, lines in (("records", generate.record_lines(batches[fact], specs[fact])), ("mixed", generate.mixed_lines(batches, specs)), ("docs", generate.document_lines({t: batches[t] for t in order}, specs, number))):
         lines.write.mode("overwrite").text(f"{args.root}/json_{kind}")
     generate.write_manifest(spark, f"{args.root}/manifest", rows=rows, multi_rows=multi, changes=n, mix=args.mix, fact=fact)
@@ -75,25 +76,25 @@ def cmd_run(args) -> None:
             path, timer = f"{args.root}/{name}_{method}_{run}", report.Timer()
             if method == "upsert":
                 target = JournalTable(spark, path, spec)
-                target.journal.destroy(), target.runs.destroy()
-                base.clone(f"{path}/journal"), base.clone(f"{path}/newest")
+                target.journal.destroy()
+                base.clone(f"{path}/journal")
             else:
                 ManifestTable(spark, path, spec).destroy()
                 target = base.clone(path)
             load = ingest.read_records(spark, f"{args.root}/json_records", spec)
             stage = ManifestTable(spark, f"{path}_delta", spec)
             stage.destroy()
-            with timer.step("load"):
+            with timer.step("load"):  # rejects stop the batch before it is published or applied
+                rows, check = load.counted(n)
                 if method == "upsert":
-                    target.append(load.good)
+                    target.append(rows, check)
                 else:
-                    stage.create(load.good)
-            load.check(n)
+                    stage.create(rows, check)
             with timer.step("apply"):
                 if method == "swap":
-                    swap.apply_swap(target, stage.read())
+                    swap.apply_swap(target, stage.read(), stage=False)
                 elif method == "merge":
-                    merge.apply_merge(target, stage.read())
+                    merge.apply_merge(target, stage.read(), stage=False)
             currents[method] = target.current() if method == "upsert" else swap.current(target) if method == "swap" else merge.current(target)
             runs.append((run, method, timer.ms["load"], timer.ms["apply"], n))
             print(f"run {run}, {method}: load {timer.ms['load']:.0f} ms, apply {timer.ms['apply']:.0f} ms, {rate(n, sum(timer.ms.values()))}")
@@ -106,31 +107,39 @@ def cmd_run(args) -> None:
 
 
 def cmd_fanout(args) -> None:
-    """Parse the batch of all tables once and merge it into each."""
+    """Parse the batch of all tables once and merge it into each, at each of the given degrees of parallelism."""
     spark, facts, specs = args.spark, generate.read_manifest(args.spark, f"{args.root}/manifest"), _specs(args)
-    steps = []
-    for run in range(1, args.runs + 1):
-        tables = {}
-        for t in specs:
-            ManifestTable(spark, f"{args.root}/{t}_fan", specs[t]).destroy()
-            tables[t] = _table(args, t, "base").clone(f"{args.root}/{t}_fan")
-        timer = report.Timer()
-        with timer.step("parse"):
-            kind = FanOut.from_records if args.shape == "mixed" else FanOut.from_documents
-            fan = kind(spark, f"{args.root}/json_{args.shape}", specs)
-        with timer.step("apply"):
-            done = fan.apply(lambda t, rows: merge.apply_merge(tables[t], rows), args.parallel)
-        if bad := fan.reject_counts():
-            raise ingest.LoadError(f"rejected: {bad}")
-        if not args.no_check:
+    steps, totals = [], []
+    for parallel in [int(x) for x in str(args.parallel).split(",")]:
+        for run in range(1, args.runs + 1):
+            tables = {}
             for t in specs:
-                source = fan.source(t)
-                validate.expect_batch(tables[t].read(), source, (facts["rows"] if specs[t].fact else facts["multi_rows"]) + split_mix(facts["changes"], facts["mix"])[2], source.count())
-        print(f"run {run}: parse {timer.ms['parse']:.0f} ms, merge {timer.ms['apply']:.0f} ms")
-        steps += [(run, args.parallel, d.table, d.ms) for d in done]
+                ManifestTable(spark, f"{args.root}/{t}_fan", specs[t]).destroy()
+                tables[t] = _table(args, t, "base").clone(f"{args.root}/{t}_fan")
+            timer, stage = report.Timer(), f"{args.root}/stage_{args.shape}"
+            _delete(args, stage)
+            with timer.step("parse"):
+                kind = FanOut.from_records if args.shape == "mixed" else FanOut.from_documents
+                fan = kind(spark, f"{args.root}/json_{args.shape}", specs, stage)
+                fan.check()  # rejects stop the batch before any table changes
+            with timer.step("apply"):
+                done = fan.apply(lambda t, rows: merge.apply_merge(tables[t], rows, stage=False), parallel)
+            if not args.no_check:
+                for t in specs:
+                    source = fan.source(t)
+                    validate.expect_batch(tables[t].read(), source, (facts["rows"] if specs[t].fact else facts["multi_rows"]) + split_mix(facts["changes"], facts["mix"])[2], source.count())
+            print(f"{parallel} at a time, run {run}: parse {timer.ms['parse']:.0f} ms, merge {timer.ms['apply']:.0f} ms")
+            totals.append((run, f"{parallel} at a time", timer.ms["parse"], timer.ms["apply"], facts["changes"] * len(specs)))
+            steps += [(run, parallel, d.table, d.ms) for d in done]
+    print(report.markdown(report.averages(report.frame(spark, totals))))
     print(report.markdown(report.by_parallel(report.frame(spark, steps, report.STEPS))))
 
 
+def _delete(args, path: str) -> None:
+    p = args.spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(args.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cmd_clean(args) -> None:
     """Remove what runs made; with --all also base tables, files and manifest."""
     fs = args.spark._jvm.org.apache.hadoop.fs.Path(args.root).getFileSystem(args.spark._jsc.hadoopConfiguration())
@@ -151,11 +160,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     r = sub.add_parser("run", help=cmd_run.__doc__)
     r.add_argument("--method", default="all"), r.add_argument("--runs", type=int, default=1), r.add_argument("--full-check", action="store_true"), r.add_argument("--no-check", action="store_true")
     f = sub.add_parser("fanout", help=cmd_fanout.__doc__)
-    f.add_argument("shape", choices=("mixed", "docs")), f.add_argument("--parallel", type=int, default=10), f.add_argument("--runs", type=int, default=1), f.add_argument("--no-check", action="store_true")
+    f.add_argument("shape", choices=("mixed", "docs")), f.add_argument("--parallel", default="10", help="tables at a time; several, as 10,5,1, are compared"), f.add_argument("--runs", type=int, default=1), f.add_argument("--no-check", action="store_true")
     c = sub.add_parser("clean", help=cmd_clean.__doc__)
     c.add_argument("--all", action="store_true")
     args = p.parse_args(argv)
     args.spark = spark or session()
+    if not args.spark.conf.get("spark.checkpoint.dir", None):
+        args.spark.conf.set("spark.checkpoint.dir", f"{args.root}/work")
     {"generate": cmd_generate, "run": cmd_run, "fanout": cmd_fanout, "clean": cmd_clean}[args.command](args)
 
 

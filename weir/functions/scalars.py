@@ -100,3 +100,13 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None, how: str = "xxh
     else:
         raise ValueError(how)
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("bigint").alias("checksum"))
+
+
+def sysdate() -> Column:
+    """The time of the query, the default of columns that say when a row came."""
+    return F.localtimestamp()
+
+
+def version() -> Column:
+    """The version of the engine's platform."""
+    return F.version()

@@ -71,8 +71,13 @@ class FanOut:
         return parsed.where(F.col(ingest.CORRUPT).isNotNull()).select(F.lit("not a record of this shape").alias("reason"), F.col(ingest.CORRUPT).alias("record"))
 
     def reject_counts(self) -> dict[str | None, int]:
-        """Rejects by table; None: lines that no table takes. A job each, on that table's columns of the stage."""
-        return {t: n for t in (None, *self.specs) if (n := self.rejects(t).count())}
+        """Rejects by table; None: lines that no table takes. One pass over the stage."""
+        return ingest.reject_counts(self.parsed(), self.specs, self.shape == "documents")
+
+    def check(self) -> None:
+        """Raises if anything was rejected: to be called before the batch is applied, so that no table has changed."""
+        if bad := self.reject_counts():
+            raise ingest.LoadError(f"rejected: {bad}")
 
     def apply(self, work: Callable[[str, DataFrame], object], parallel: int = 1) -> list[Applied]:
         """work(table, rows) for each table, at most `parallel` at a time, in the order of the specifications."""

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import part_of
-from .changes import compacted, guarded
+from ..plans.plans import expect_nodes
+from .changes import compacted, guarded, month_ranges, staged
 from .journal import live
 from .store import ManifestTable
 
@@ -26,22 +27,29 @@ def effects(target: DataFrame, delta: DataFrame, key: str = "isn") -> DataFrame:
     return met.agg(F.count("_hit").alias("n_updated"), (F.count("*") - F.count("_hit")).alias("n_inserted"))
 
 
-def apply_merge(table: ManifestTable, delta: DataFrame, how: str = "vectors", dedup: bool = False, guard_ts: bool = False, exact: bool = False) -> int:
+#: What no keyed merge may plan.
+UNKEYED = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def apply_merge(table: ManifestTable, delta: DataFrame, how: str = "vectors", dedup: bool = False, guard_ts: bool = False, exact: bool = False, stage: bool = True) -> int:
     """Apply a batch; the new version. exact: only keys that the table has get into the vector, which takes a scan of its keys;
     others in it do no harm."""
     key = table.spec.key
-    delta = compacted(delta, table.spec, dedup)
-    if guard_ts:
-        delta = guarded(delta, table.read(), table.spec)
-    if how == "vectors":
-        keys = delta.select(key)
-        return table.delete_and_append(keys.join(table.read().select(key), key, "left_semi") if exact else keys, delta)
-    if how == "copy":
-        m = table.manifest()
-        hit = table.read().join(delta.select(key), key, "left_semi").select(part_of().alias("p"))
-        parts = sorted(r.p for r in hit.union(delta.select(part_of())).distinct().collect())
-        stage = table.write_data(merged(table.read(parts), delta, key), m["version"] + 1)
-        return table.swap(stage, drop=parts)
+    with staged(table, delta, stage) as delta:
+        delta = compacted(delta, table.spec, dedup)
+        if guard_ts:
+            delta = guarded(delta, table.read(), table.spec)
+        if how == "vectors":
+            keys = delta.select(key)
+            return table.delete_and_append(keys.join(table.read().select(key), key, "left_semi") if exact else keys, delta)
+        if how == "copy":
+            m, months = table.manifest(), month_ranges(delta, key)
+            # only entries that can hold one of the keys are looked at
+            hit = table.read(ranges=list(months.values())).join(delta.select(key), key, "left_semi").select(part_of().alias("p"))
+            parts = sorted({*months, *(r.p for r in hit.distinct().collect())})
+            rows = merged(table.read(parts), delta, key)
+            expect_nodes(rows, without=UNKEYED)
+            return table.swap(table.write_data(rows, m["version"] + 1), drop=parts)
     raise ValueError(how)
 
 

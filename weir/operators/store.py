@@ -1,17 +1,21 @@
 """Tables as manifests: which files each month partition has, and which keys are deleted from older files.
 
-A version of a table is one small JSON file; data files are never changed. Publishing is the creation of the next version's file,
-which fails if it is there: one writer wins, readers always see a whole version. So a partition swap, a clone, a link or a drop
-costs a manifest, whatever the table's size, and readers prune partitions before a scan is planned.
-
-Files of a partition carry the sequence number of the version that wrote them; a delete vector of sequence n hides its keys in
-files of smaller numbers only. Paths go through Hadoop's file systems: any store that Spark reads.
+A version of a table is one small JSON file; data files are never changed. Publishing writes the next version's file under another name
+and renames it, which fails if that version is there: one writer wins, and readers see a version whole or not at all (a store whose
+rename is a copy can leave a part of a file: readers pass over what can't be parsed, and the next version gets the number after it).
+So a partition swap, a clone, a link or a drop costs a manifest, whatever the table's size, and readers prune partitions before a
+scan is planned.
+
+An entry is [path, sequence, first key, last key, rows]. The sequence is the version that wrote or linked it; a delete vector of
+sequence n hides its keys in entries of smaller numbers only, and only entries whose keys it can meet are joined with it: a read of
+months that no vector concerns is a plain scan. Paths go through Hadoop's file systems: any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,12 @@ class Conflict(Exception):
     """Another writer published this version first."""
 
 
+def meets(entry: list, ranges: list[tuple]) -> bool:
+    """Whether keys of these ranges (first, last) can be in an entry; unknown ones can."""
+    lo, hi = entry[2], entry[3]
+    return lo is None or any(a is None or (lo <= b and a <= hi) for a, b in ranges)
+
+
 class ManifestTable:
     def __init__(self, spark: SparkSession, path: str, spec: TableSpec):
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
@@ -36,78 +46,117 @@ class ManifestTable:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _file(self, version: int) -> str:
+        return f"{self.path}/_manifest/v{version:010d}.json"
+
     def _versions(self) -> list[int]:
         fs, p = self._fs(f"{self.path}/_manifest")
         if not fs.exists(p):
             return []
-        return sorted(int(s.getPath().getName()[1:-5]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        """version, parts (month: [[path, sequence], ...]), deletes ([[path, sequence], ...])."""
-        found = self._versions()
-        if not found:
-            return {"version": 0, "parts": {}, "deletes": []}
-        version = found[-1] if version is None else version
-        fs, p = self._fs(f"{self.path}/_manifest/v{version:010d}.json")
+    def _parsed(self, version: int) -> dict | None:
+        fs, p = self._fs(self._file(version))
         stream = fs.open(p)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            return None
         finally:
             stream.close()
 
+    def manifest(self, version: int | None = None) -> dict:
+        """version, parts (month: entries), deletes ([[path, sequence, first key, last key], ...]) and what else was published."""
+        found = self._versions() if version is None else [version]
+        for v in reversed(found):
+            if (m := self._parsed(v)) is not None:
+                return m | {"version": found[-1]}
+        return {"version": found[-1] if found else 0, "parts": {}, "deletes": []}
+
     def exists(self) -> bool:
         return bool(self._versions())
 
-    def publish(self, manifest: dict) -> int:
-        """Make a manifest the next version."""
-        version = manifest["version"] + 1
-        fs, p = self._fs(f"{self.path}/_manifest/v{version:010d}.json")
-        try:
-            out = fs.create(p, False)
-        except Exception as e:
-            raise Conflict(f"version {version} of {self.path} is there already") from e
+    def _put(self, manifest: dict, version: int) -> None:
+        """Create a version's file, whole or not at all; fails if it is there."""
+        jvm, text = self.spark._jvm, json.dumps(manifest | {"version": version})
+        fs, p = self._fs(f"{self.path}/_manifest/.{uuid.uuid4().hex}")
+        out = fs.create(p, False)
         try:
-            out.write(bytearray(json.dumps(manifest | {"version": version}).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return version
+        once = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        once[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        to = jvm.org.apache.hadoop.fs.Path(self._file(version))
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(p, to, once)
+        except Exception as e:
+            fs.delete(p, False)
+            raise Conflict(f"version {version} of {self.path} is there already") from e
+
+    def publish(self, manifest: dict) -> int:
+        """Make a manifest the next version."""
+        self._put(manifest, manifest["version"] + 1)
+        return manifest["version"] + 1
 
     # data
 
     def write_data(self, df: DataFrame, sequence: int) -> dict[str, list]:
         """Write rows, one sorted run a month partition and task; the new entries by month. Nothing is published."""
-        root = f"{self.path}/data/{uuid.uuid4().hex}"
+        root, key = f"{self.path}/data/{uuid.uuid4().hex}", self.spec.key
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).withColumn("_part", part_of())
         # a hint, not a fixed number: adaptive execution splits a large month over tasks and joins small ones
-        rows.hint("rebalance", "_part").sortWithinPartitions("_part", self.spec.key).write.partitionBy("_part").parquet(root)
+        rows.hint("rebalance", "_part").sortWithinPartitions("_part", key).write.partitionBy("_part").parquet(root)
         fs, p = self._fs(root)
         names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("_part="))
-        return {n.removeprefix("_part="): [[f"{root}/{n}", sequence]] for n in names}
-
-    def _rows(self, entries: list) -> DataFrame:
-        """Rows of files, with _seq."""
-        by_seq: dict[int, list[str]] = {}
-        for path, seq in entries:
-            by_seq.setdefault(seq, []).append(path)
-        out = None
-        for seq, paths in sorted(by_seq.items()):
-            df = self.spark.read.schema(self.schema).parquet(*paths).withColumn("_seq", F.lit(seq).cast("long"))
-            out = df if out is None else out.unionByName(df)
-        return self.spark.createDataFrame([], self.schema).withColumn("_seq", F.lit(0).cast("long")) if out is None else out
-
-    def read(self, parts: list[int] | None = None, version: int | None = None) -> DataFrame:
-        """All rows, or those of some months, less what delete vectors hide."""
-        m = self.manifest(version)
+        if not names:
+            return {}
+        # a scan of the written keys; a row a month comes back
+        written = self.spark.read.schema(f"`{key}` bigint, _part string").option("basePath", root).parquet(*[f"{root}/{n}" for n in names])
+        facts = {r["_part"]: r for r in written.groupBy("_part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"), F.count(key).alias("k")).collect()}
+        out = {}
+        for n in names:
+            month = n.removeprefix("_part=")
+            r = facts.get(month)
+            lo, hi = (r["lo"], r["hi"]) if r and r["n"] == r["k"] else (None, None)
+            out[month] = [[f"{root}/{n}", sequence, lo, hi, r["n"] if r else 0]]
+        return out
+
+    def _rows(self, entries: list, sequences: bool = False) -> DataFrame:
+        """Rows of entries in one scan, with _seq if asked."""
+        if not entries:
+            df = self.spark.createDataFrame([], self.schema)
+            return df.withColumn("_seq", F.lit(0).cast("long")) if sequences else df
+        df = self.spark.read.schema(self.schema).parquet(*[e[0] for e in entries])
+        if not sequences:
+            return df
+        if len({e[1] for e in entries}) == 1:
+            return df.withColumn("_seq", F.lit(entries[0][1]).cast("long"))
+        of = {"/".join(e[0].split("/")[-2:]): e[1] for e in entries}  # folder and month
+        where = F.url_decode(F.regexp_extract("_metadata.file_path", r"([0-9a-f]{32}/_part=[^/]*)/[^/]*$", 1))
+        return df.withColumn("_seq", F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), where).cast("long"))
+
+    def read(self, parts: list[int] | None = None, version: int | None = None, which: str = "parts", ranges: list[tuple] | None = None) -> DataFrame:
+        """All rows, or those of some months, less what delete vectors hide. which: the list of entries in the manifest; ranges: only
+        entries that can hold keys of these ranges (first, last)."""
+        m, key = self.manifest(version), self.spec.key
         wanted = set(map(str, parts)) if parts is not None else None
-        rows = self._rows([e for p, es in m["parts"].items() if wanted is None or p in wanted for e in es])
-        if m["deletes"]:
-            gone = None
-            for path, seq in m["deletes"]:
-                d = self.spark.read.schema(f"{self.spec.key} bigint").parquet(path).withColumn("_until", F.lit(seq).cast("long"))
-                gone = d if gone is None else gone.unionByName(d)
-            gone = gone.groupBy(self.spec.key).agg(F.max("_until").alias("_until"))
-            rows = rows.join(gone.withColumnRenamed(self.spec.key, "_k"), (F.col(self.spec.key) == F.col("_k")) & (F.col("_seq") < F.col("_until")), "left_anti")
-        return rows.drop("_seq")
+        entries = [e for p, es in m.get(which, m["parts"]).items() if wanted is None or p in wanted for e in es if ranges is None or meets(e, ranges)]
+        met = [e for e in entries if any(d[1] > e[1] and meets(e, [(d[2], d[3])]) for d in m["deletes"])]
+        if not met:
+            return self._rows(entries)
+        plain = [e for e in entries if e not in met]
+        vectors = [d for d in m["deletes"] if any(d[1] > e[1] and meets(e, [(d[2], d[3])]) for e in met)]
+        gone = None
+        for path, seq, *_ in vectors:
+            d = self.spark.read.schema(f"`{key}` bigint").parquet(path).withColumn("_until", F.lit(seq).cast("long"))
+            gone = d if gone is None else gone.unionByName(d)
+        if len(vectors) > 1:
+            gone = gone.groupBy(key).agg(F.max("_until").alias("_until"))
+        rows = self._rows(met, sequences=True)
+        rows = rows.join(gone.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("_seq") < F.col("_until")), "left_anti").drop("_seq")
+        return rows.unionByName(self._rows(plain)) if plain else rows
 
     def view(self, name: str, parts: list[int] | None = None) -> DataFrame:
         """The present rows as a view of that name; a later version needs a new view."""
@@ -124,11 +173,14 @@ class ManifestTable:
 
     # changes of a whole version
 
-    def create(self, df: DataFrame | None = None) -> ManifestTable:
-        """An empty table, or one that holds df."""
+    def create(self, df: DataFrame | None = None, check: Callable[[], object] | None = None) -> ManifestTable:
+        """An empty table, or one that holds df. check: called when df is written, before it is published."""
         if self.exists():
             raise Conflict(f"{self.path} is there already")
-        self.publish({"version": 0, "parts": self.write_data(df, 1) if df is not None else {}, "deletes": []})
+        parts = self.write_data(df, 1) if df is not None else {}
+        if check:
+            check()
+        self.publish({"version": 0, "parts": parts, "deletes": []})
         return self
 
     def append(self, df: DataFrame) -> int:
@@ -139,12 +191,14 @@ class ManifestTable:
 
     def delete_and_append(self, keys: DataFrame, df: DataFrame) -> int:
         """Hide keys in all that is there and append rows, in one version."""
-        m = self.manifest()
+        m, key = self.manifest(), self.spec.key
         seq, path = m["version"] + 1, f"{self.path}/deletes/{uuid.uuid4().hex}"
-        keys.select(F.col(self.spec.key).cast("long")).write.parquet(path)
+        keys.select(F.col(key).cast("long")).write.parquet(path)
+        lo, hi = self.spark.read.schema(f"`{key}` bigint").parquet(path).agg(F.min(key), F.max(key)).first()
         for p, es in self.write_data(df, seq).items():
             m["parts"].setdefault(p, []).extend(es)
-        m["deletes"].append([path, seq])
+        if lo is not None:
+            m["deletes"].append([path, seq, lo, hi])
         return self.publish(m)
 
     def swap(self, stage: dict[str, list], drop: list[int] = ()) -> int:
@@ -156,13 +210,13 @@ class ManifestTable:
         return self.publish(m)
 
     def link(self, source: ManifestTable, parts: list[int]) -> int:
-        """Take over another table's partitions without copying data."""
+        """Take over another table's partitions without copying data. They are new here: older delete vectors don't concern them."""
         m, other = self.manifest(), source.manifest()
         if other["deletes"]:
             raise ValueError("compact the source first: its delete vectors are about its own versions")
         for p in map(str, parts):
             if p in other["parts"]:
-                m["parts"][p] = [[path, 0] for path, _ in other["parts"][p]]
+                m["parts"][p] = [[e[0], m["version"] + 1, *e[2:]] for e in other["parts"][p]]
         return self.publish(m)
 
     def drop(self, parts: list[int]) -> int:
@@ -174,23 +228,26 @@ class ManifestTable:
         if copy.exists():
             raise Conflict(f"{path} is there already")
         m = self.manifest()
-        fs, p = self._fs(f"{copy.path}/_manifest/v{m['version']:010d}.json")
-        out = fs.create(p, False)
-        try:
-            out.write(bytearray(json.dumps(m).encode()))
-        finally:
-            out.close()
+        copy._put(m, m["version"])
         return copy
 
     def compact(self) -> int:
         """Rewrite the partitions that delete vectors or many runs concern, then forget the vectors."""
         m = self.manifest()
-        todo = [int(p) for p, es in m["parts"].items() if m["deletes"] or len(es) > 1]
+        todo = [int(p) for p, es in m["parts"].items() if len(es) > 1 or any(d[1] > e[1] and meets(e, [(d[2], d[3])]) for d in m["deletes"] for e in es)]
         stage = self.write_data(self.read(todo), m["version"] + 1) if todo else {}
         m["parts"] = {p: es for p, es in m["parts"].items() if int(p) not in todo} | stage
         m["deletes"] = []
         return self.publish(m)
 
+    def maintain(self, runs: int = 64, vectors: int = 32) -> bool:
+        """Compact if a month has more runs or the table more vectors than that, so that reads stay cheap however many batches come."""
+        m = self.manifest()
+        if len(m["deletes"]) <= vectors and max(map(len, m["parts"].values()), default=0) <= runs:
+            return False
+        self.compact()
+        return True
+
     def destroy(self) -> None:
         fs, p = self._fs(self.path)
         fs.delete(p, True)
@@ -200,10 +257,20 @@ class ManifestTable:
         rows = []
         for p, es in sorted(self.manifest()["parts"].items()):
             files = size = 0
-            for path, _ in es:
+            for path, *_ in es:
                 fs, hp = self._fs(path)
                 for s in fs.listStatus(hp):
                     if s.getPath().getName().endswith(".parquet"):
                         files, size = files + 1, size + s.getLen()
             rows.append((int(p), files, size))
         return self.spark.createDataFrame(rows, "part int, files int, bytes long")
+
+    def statistics(self) -> DataFrame:
+        """part, runs, n_rows (before delete vectors), first_key, last_key of the present version, from the manifest alone."""
+        rows = [(int(p), len(es), sum(e[4] for e in es), min((e[2] for e in es if e[2] is not None), default=None), max((e[3] for e in es if e[3] is not None), default=None)) for p, es in sorted(self.manifest()["parts"].items())]
+        return self.spark.createDataFrame(rows, "part int, runs int, n_rows long, first_key long, last_key long")
+
+    def count(self) -> int:
+        """The number of rows: from the manifest, unless delete vectors hide some."""
+        m = self.manifest()
+        return self.read().count() if m["deletes"] else sum(e[4] for es in m["parts"].values() for e in es)

@@ -114,7 +114,7 @@ def csv_load(spark, sf):
 
 
 def journal_history(spark, sf):
-    return _journal(spark, sf).history(*range(0, 200)).select(*OUT)
+    return _journal(spark, sf).history().select(*OUT)
 
 
 def upsert_current(spark, sf):
@@ -213,7 +213,7 @@ def merge_updates_vs_inserts(spark, sf):
 def merge_delete_vectors(spark, sf):
     t = _keyed(spark, sf)
     merge.apply_merge(t, changes(spark, sf), exact=True)
-    paths = [p for p, _ in t.manifest()["deletes"]]
+    paths = [d[0] for d in t.manifest()["deletes"]]
     return spark.read.parquet(*paths).agg(F.count("*").alias("n_deleted"))
 
 
@@ -270,12 +270,45 @@ def _fanned(shape: str, name: str) -> Callable:
     def query(spark, sf):
         bases = {"ord": base(spark, sf), "cust": _small(spark, sf, "cust", False), "supp": _small(spark, sf, "supp", False)}
         tables = {n: ManifestTable(spark, work_path(spark, n), THREE[n]).create(bases[n]) for n in THREE}
-        _fan(spark, sf, shape).apply(lambda n, rows: merge.apply_merge(tables[n], rows), parallel=3)
+        _fan(spark, sf, shape).apply(lambda n, rows: merge.apply_merge(tables[n], rows, stage=False), parallel=3)
         return merge.current(tables[name]).select(*THREE[name].columns)
 
     return query
 
 
+TEN, TEN_ROWS, TEN_CHANGES, TEN_MIX = catalog(), 2000, 160, "40:10:50"
+
+
+def _fanned_ten(shape: str) -> Callable:
+    """A batch for all ten tables in one set of files, parsed once, merged into each: count and checksum of each table's current rows."""
+
+    def query(spark, sf):
+        rows = dict.fromkeys(TEN, TEN_ROWS)
+        tables = {n: ManifestTable(spark, work_path(spark, n), s).create(generate.base(spark, s, TEN_ROWS, rows, how="linear")) for n, s in TEN.items()}
+        batch = {n: generate.changes(spark, s, TEN_CHANGES, TEN_ROWS, TEN_MIX, rows, how="linear", order="_k") for n, s in TEN.items()}
+        path = work_path(spark, "json")
+        if shape == "mixed":
+            generate.write_lines(generate.mixed_lines(batch, TEN), path)
+            fan = FanOut.from_records(spark, path, TEN)
+        else:
+            generate.write_lines(generate.document_lines(batch, TEN, {n: generate.document_number(F.col("_k"), i + 1) for i, n in enumerate(TEN)}), path)
+            fan = FanOut.from_documents(spark, path, TEN, max_occurs=max(generate.PER_DOCUMENT), strict=True)
+        fan.check()
+        fan.apply(lambda n, rows: merge.apply_merge(tables[n], rows, stage=False), parallel=5)
+        out = None
+        for n, t in tables.items():
+            row = S.fingerprint(merge.current(t), TEN[n].columns, how="md5").select(F.lit(n).alias("tab"), "n_rows", "checksum")
+            out = row if out is None else out.unionByName(row)
+        return out
+
+    return query
+
+
+def manifest_statistics(spark, sf):
+    """What the manifest knows of each month without a scan."""
+    return _keyed(spark, sf).statistics().select("part", "n_rows", "first_key", "last_key")
+
+
 def fanout_rejects(spark, sf):
     lines = generate.mixed_lines({"ord": derived(spark, sf), "cust": _small(spark, sf, "cust", True)}, THREE)
     lines = lines.withColumn("isn", F.get_json_object("value", "$.hdr.isn").cast("long"))
@@ -331,7 +364,7 @@ def insert_values(spark, sf):
     """A table like another, filled by appended rows and by rows of a query."""
     t = _keyed(spark, sf).like(work_path(spark, "like"))
     t.append(spark.createDataFrame([(10**6 + k, "I", None, 0, None, k, None, "X", None) for k in range(3)], ORD.flat_schema(False)).withColumns({"created_date": F.lit("2001-01-05").cast("date"), "change_ts": F.lit("2001-01-05").cast("timestamp_ntz")}))
-    t.append(base(spark, sf).where("isn < 100"))
+    t.append(base(spark, sf))
     return t.read().groupBy("city").agg(F.count("*").alias("n"), F.max("isn").alias("last"))
 
 
@@ -438,9 +471,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         upsert_current, cdc_json_flatten, cdc_json_rejects, json_events_props, csv_load, journal_history, journal_compact, stream_upsert, topk_events_latest, topk_k3, dedup_batch, swap_touched, swap_isn_range, swap_rebuild,
         swap_current, swap_gap_partitions, merge_current, merge_mor_read, merge_with_tombstones, merge_compacted, merge_updates_vs_inserts, merge_delete_vectors, late_change_upsert, late_change_merge, late_change_guarded,
         fanout_rejects, doc_slots_two, unbounded_arrays, clone_isolated, link_and_drop, view_scan, insert_values, fingerprint_md5, batch_check, check_from, cross_method_fp, partition_plan_query, number_table, generated_base, generated_changes, hot_window_perm,
-        storage_summary, report_avg_ratio, report_pivot, scalar_functions, predicates,
+        storage_summary, manifest_statistics, report_avg_ratio, report_pivot, scalar_functions, predicates,
     )
-} | {f"fanout_{shape}_{n}": _fanned(shape, n) for shape in ("mixed", "docs") for n in THREE}
+} | {f"fanout_{shape}_{n}": _fanned(shape, n) for shape in ("mixed", "docs") for n in THREE} | {f"fanout_{shape}_ten": _fanned_ten(shape) for shape in ("mixed", "docs")}
 
 
 # The same in SQL
@@ -483,25 +516,65 @@ def _p(seed: int, values: list[str]) -> str:
     return f"([{', '.join(repr(v) for v in values)}])[{_h(seed, len(values))} + 1]"
 
 
+def _field_sql(f, seed: int, rows: int) -> str:
+    kind, *args = f.generator.partition("?")[0].split(":")
+    if kind in ("first", "last", "city", "country"):
+        return _p(seed, {"first": generate.FIRST, "last": generate.LAST, "city": generate.CITY, "country": generate.COUNTRY}[kind])
+    if kind == "num":
+        a, b = int(args[0]), int(args[1])
+        return f"CAST(CAST({a * 100} + {_h(seed, (b - a) * 100 + 1)} AS DECIMAL(20,2)) * CAST(0.01 AS DECIMAL(3,2)) AS {f.type.replace('NUMERIC', 'DECIMAL')})"
+    return {
+        "pick": lambda: _p(seed, args[0].split(";")),
+        "street": lambda: f"(1 + {_h(seed, 250)}) || ' ' || {_p(seed + 1, generate.LAST)} || ' ' || {_p(seed + 2, generate.SUFFIX)}",
+        "phone": lambda: f"'+' || (1 + {_h(seed, 98)}) || '-' || lpad(CAST({_h(seed + 1, 1000)} AS VARCHAR), 3, '0') || '-' || lpad(CAST({_h(seed + 2, 10000000)} AS VARCHAR), 7, '0')",
+        "email": lambda: f"lower({_p(seed, generate.FIRST)}) || '.' || isn || '@' || {_p(seed + 1, generate.DOMAIN)}",
+        "code": lambda: f"left(upper(md5(isn || '-{seed}')), {args[0]})",
+        "bool": lambda: f"({_h(seed, 100)} < 3)",
+        "int": lambda: f"CAST({args[0]} + {_h(seed, int(args[1]) - int(args[0]) + 1)} AS INTEGER)",
+        "date": lambda: f"DATE '{args[0]}' + CAST({_h(seed, int(args[1]))} AS INTEGER)",
+        "id": lambda: f"'{args[0]}' || lpad(CAST(isn AS VARCHAR), {args[1]}, '0')",
+        "ref": lambda: f"CAST(1 + {_h(seed, rows)} AS BIGINT)",
+    }[kind]()
+
+
+def _fields_sql(spec: TableSpec, rows: int, only: list[str] | None = None) -> str:
+    containers: dict[str, int] = {}
+    out = []
+    for i, f in enumerate(spec.fields):
+        x = _field_sql(f, 104 + 4 * i, rows)
+        if f.percent_null:
+            x = f"CASE WHEN {_h(5000 + containers.setdefault(f.container, len(containers) + 1), 100)} < {f.percent_null} THEN NULL ELSE {x} END"
+        if only is None or f.column in only:
+            out.append(f"{x} AS {f.column}")
+    return ", ".join(out)
+
+
+def _base_sql(rows: int) -> str:
+    day = f"DATE '2023-01-01' + CAST((isn - 1) * 1096 // {rows} AS INTEGER)"
+    return f"SELECT isn, 'I' AS op_code, CAST({day} AS TIMESTAMP) + {_h(1, 86400)} * INTERVAL '1 second' AS change_ts, CAST(0 AS INTEGER) AS batch_id, {day} AS created_date FROM (SELECT range AS isn FROM range(1, {rows + 1}))"
+
+
+def _changes_sql(n: int, rows: int, mix: str) -> str:
+    lo, size, stride = generate.hot_window(rows)
+    n_upd, n_del, _ = S.split_mix(n, mix)
+    old = n_upd + n_del
+    return f"""SELECT isn, CASE WHEN k < {n_upd} THEN 'U' WHEN k < {old} THEN 'D' ELSE 'I' END AS op_code, TIMESTAMP '2026-01-01' + k * INTERVAL '1 microsecond' AS change_ts, CAST(1 AS INTEGER) AS batch_id,
+        CASE WHEN isn <= {rows} THEN DATE '2023-01-01' + CAST((isn - 1) * 1096 // {rows} AS INTEGER) ELSE DATE '2026-01-01' END AS created_date
+        FROM (SELECT range AS k, CASE WHEN range < {old} THEN {lo} + range * {stride} % {size} ELSE {rows} + range - {old} + 1 END AS isn FROM range({n}))"""
+
+
 def _generated_sql() -> str:
-    phone = lambda s: f"'+' || (1 + {_h(s, 98)}) || '-' || lpad(CAST({_h(s + 1, 1000)} AS VARCHAR), 3, '0') || '-' || lpad(CAST({_h(s + 2, 10000000)} AS VARCHAR), 7, '0')"
-    opt = lambda n, pct, e: f"CASE WHEN {_h(5000 + n, 100)} < {pct} THEN NULL ELSE {e} END"
-    return f"""WITH r AS (SELECT isn, DATE '2023-01-01' + CAST((isn - 1) * 1096 // {ROWS} AS INTEGER) AS created_date FROM (SELECT range AS isn FROM range(1, {ROWS + 1})))
-        SELECT isn, CAST(created_date AS TIMESTAMP) + {_h(1, 86400)} * INTERVAL '1 second' AS change_ts, created_date, 'CU' || lpad(CAST(isn AS VARCHAR), 10, '0') AS cust_no, {_p(108, generate.FIRST)} AS first_name,
-        DATE '1940-01-01' + CAST({_h(116, 25000)} AS INTEGER) AS birth_date, CAST(1 + {_h(124, 999)} AS INTEGER) AS risk_score,
-        {opt(1, 10, f"lower({_p(128, generate.FIRST)}) || '.' || isn || '@' || {_p(129, generate.DOMAIN)}")} AS email, {phone(132)} AS phone_1, {opt(2, 40, phone(136))} AS phone_2, {opt(2, 80, phone(140))} AS phone_3,
-        (1 + {_h(148, 250)}) || ' ' || {_p(149, generate.LAST)} || ' ' || {_p(150, generate.SUFFIX)} AS addr1_street, {opt(3, 50, _p(168, generate.CITY))} AS addr2_city, {opt(3, 50, _p(160, ["H", "W"]))} AS addr2_type FROM r"""
+    return f"SELECT isn, change_ts, created_date, {_fields_sql(TEN['customer'], ROWS, GENERATED)} FROM ({_base_sql(ROWS)})"
 
 
 def _generated_changes_sql() -> str:
-    lo, size, stride = generate.hot_window(ROWS)
-    opt = lambda n, pct, e: f"CASE WHEN {_h(5000 + n, 100)} < {pct} THEN NULL ELSE {e} END"
-    num = lambda s, a, b, t: f"CAST(({a * 100} + {_h(s, (b - a) * 100 + 1)}) AS DECIMAL(20,2)) / 100"
-    money = lambda s, a, b, t="DECIMAL(15,2)": f"CAST(CAST({a * 100} + {_h(s, (b - a) * 100 + 1)} AS DECIMAL(20,2)) * CAST(0.01 AS DECIMAL(3,2)) AS {t})"
-    return f"""WITH k AS (SELECT range AS k FROM range(800)), c AS (SELECT k, CASE WHEN k < 400 THEN {lo} + k * {stride} % {size} ELSE {ROWS} + k - 400 + 1 END AS isn, CASE WHEN k < 320 THEN 'U' WHEN k < 400 THEN 'D' ELSE 'I' END AS op_code FROM k)
-        SELECT isn, op_code, TIMESTAMP '2026-01-01' + k * INTERVAL '1 microsecond' AS change_ts, CAST(1 AS INTEGER) AS batch_id,
-        CASE WHEN isn <= {ROWS} THEN DATE '2023-01-01' + CAST((isn - 1) * 1096 // {ROWS} AS INTEGER) ELSE DATE '2026-01-01' END AS created_date,
-        {money(116, 5000, 900000)} AS principal, {money(120, 1, 15, "DECIMAL(6,3)")} AS interest_rate, {opt(1, 20, money(144, 1000, 1500000))} AS coll1_value, {opt(2, 70, money(152, 1000, 1500000))} AS coll2_value FROM c"""
+    return f"SELECT isn, op_code, change_ts, batch_id, created_date, {_fields_sql(TEN['loan'], ROWS, ['principal', 'interest_rate', 'coll1_value', 'coll2_value'])} FROM ({_changes_sql(800, ROWS, '40:10:50')})"
+
+
+def _ten_sql() -> str:
+    keys = f"""WITH b AS ({_base_sql(TEN_ROWS)}), c AS ({_changes_sql(TEN_CHANGES, TEN_ROWS, TEN_MIX)}),
+        e AS (SELECT * FROM b WHERE isn NOT IN (SELECT isn FROM c) UNION ALL SELECT * FROM c WHERE op_code <> 'D')"""
+    return keys + " " + " UNION ALL ".join(f"SELECT '{n}' AS tab, count(*) AS n_rows, {_md5(_columns(s.columns))} AS checksum FROM (SELECT *, {_fields_sql(s, TEN_ROWS)} FROM e)" for n, s in TEN.items())
 
 
 _O = "CAST(o_orderdate AS DATE)"
@@ -511,7 +584,7 @@ SQL: dict[str, str] = {
     "cdc_json_rejects": f"""{_WITH} SELECT CASE isn % 50 WHEN 9 THEN 'not a record of this shape' WHEN 19 THEN 'not a record of this shape' WHEN 29 THEN 'op_code is unknown' WHEN 39 THEN 'isn is null' ELSE 'good' END AS reason, count(*) AS n FROM chg GROUP BY 1""",
     "json_events_props": "SELECT event_type, CAST(sum(CAST(props::JSON->>'k' AS BIGINT)) AS BIGINT) AS sum_k, count(props::JSON->>'k') AS n FROM events GROUP BY 1",
     "csv_load": "SELECT r_regionkey, r_name FROM region",
-    "journal_history": f"{_WITH} SELECT {_COLS} FROM (SELECT * FROM base UNION ALL SELECT * FROM chg) WHERE isn < 200",
+    "journal_history": f"{_WITH} SELECT {_COLS} FROM (SELECT * FROM base UNION ALL SELECT * FROM chg)",
     "topk_events_latest": "SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "topk_k3": "SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "dedup_batch": f"SELECT l_orderkey, l_linenumber, {', '.join(LINE)} FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in LINE)}) = 1",
@@ -533,7 +606,7 @@ SQL: dict[str, str] = {
     "clone_isolated": f"WITH {_BASE} SELECT {_COLS} FROM base",
     "link_and_drop": f"WITH {_BASE} SELECT {_COLS} FROM base WHERE {_PART} >= 200001 AND {_PART} <> 200003",
     "view_scan": f"{_WITH}, t AS ({_TOMBS.removeprefix(_WITH)}) SELECT city, count(*) AS n, (SELECT count(*) FROM t) AS n_rows, (SELECT count(*) FROM t WHERE batch_id = 1) AS batch_rows FROM (SELECT * FROM t WHERE op_code <> 'D') WHERE amount > (SELECT max(amount) / 2 FROM t) GROUP BY city",
-    "insert_values": f"WITH {_BASE} SELECT city, count(*) AS n, max(isn) AS last FROM (SELECT isn, city FROM base WHERE isn < 100 UNION ALL SELECT 1000000 + range, 'X' FROM range(3)) GROUP BY city",
+    "insert_values": f"WITH {_BASE} SELECT city, count(*) AS n, max(isn) AS last FROM (SELECT isn, city FROM base UNION ALL SELECT 1000000 + range, 'X' FROM range(3)) GROUP BY city",
     "fingerprint_md5": "SELECT count(*) AS n_rows, " + _md5({"a": "o_orderkey", "b": "o_custkey", "c": "o_orderstatus", "d": "CAST(o_totalprice AS DECIMAL(15,2))", "e": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')", "f": "o_orderpriority"}) + " AS checksum FROM orders",
     "batch_check": f"{_WITH}, t AS ({_TOMBS.removeprefix(_WITH)}) SELECT (SELECT count(*) FROM t) AS n_rows, (SELECT count(*) FROM t WHERE batch_id = 1) AS batch_rows, (SELECT {_md5(_columns(OUT))} FROM t WHERE batch_id = 1) AS target_checksum, (SELECT {_md5(_columns(OUT))} FROM chg) AS source_checksum",
     "check_from": f"{_WITH} SELECT min(isn) AS check_from FROM base WHERE created_date >= (SELECT date_trunc('month', min(created_date)) FROM chg)",
@@ -554,5 +627,7 @@ SQL: dict[str, str] = {
     "predicates": """SELECT count(*) FILTER (o_orderstatus = 'F') AS equal, count(*) FILTER (o_orderstatus <> 'F') AS unequal, count(*) FILTER (o_orderkey BETWEEN 100 AND 500) AS "between", count(*) FILTER (o_orderpriority IN ('1-URGENT', '5-LOW')) AS "in",
         count(*) FILTER (o_orderpriority LIKE '%-LO_') AS "like", count(*) FILTER (o_orderpriority NOT LIKE '1%') AS not_like, count(*) FILTER (o_orderpriority ILIKE '%urgent') AS "ilike", count(*) FILTER (o_orderdate IS NOT NULL) AS not_null,
         count(*) FILTER ((o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01') OR (o_orderdate >= TIMESTAMP '1997-05-01' AND o_orderdate < TIMESTAMP '1997-06-01')) AS half_open FROM orders""",
+    "manifest_statistics": f"WITH {_BASE} SELECT {_PART} AS part, count(*) AS n_rows, min(isn) AS first_key, max(isn) AS last_key FROM base GROUP BY 1",
+    **{f"fanout_{shape}_ten": _ten_sql() for shape in ("mixed", "docs")},
     **{f"fanout_{shape}_{n}": _fan_sql(n) for shape in ("mixed", "docs") for n in THREE},
 }

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import coprime_stride, hashed, pick, split_mix
 from .spec import TableSpec, spark_type
 
-#: The lists that generators pick from.
-FIRST = "James;Mary;Robert;Patricia;Noam;Maya;Hans;Giulia".split(";")
-LAST = "Smith;Cohen;Levi;Garcia;Mueller;Rossi;Dubois;Novak".split(";")
-CITY = "NEW_YORK;LONDON;PARIS;BERLIN;TEL_AVIV;HAIFA;ZURICH;ROME".split(";")
-COUNTRY = "US;GB;FR;DE;IL;CH;IT;ES".split(";")
-SUFFIX = "ST;AVE;RD;BLVD".split(";")
-DOMAIN = "mail.example;example.org;corp.example;bank.example".split(";")
+# What generators pick from
+FIRST = "Anouk;Bram;Chiara;Dmitri;Elif;Farid;Greta;Hugo;Ines".split(";")
+LAST = "Abbot;Bergman;Castro;Dvorak;Eriksen;Fontaine;Grillo".split(";")
+CITY = "OSLO;PORTO;LYON;GRAZ;TURIN;CORK;UTRECHT;GDANSK;BASEL;MALMO".split(";")
+COUNTRY = "NO;PT;FR;AT;IT;IE;NL;PL;CH;SE".split(";")
+SUFFIX = "LANE;ROW;COURT;WAY;GREEN".split(";")
+DOMAIN = "post.example;letters.example;works.example".split(";")
 START, SPAN_DAYS, HOT_PERCENT = "2023-01-01", 1096, 5
 #: Fixed value: records of a table in a document, by (document + table) modulo 4.
 PER_DOCUMENT = (0, 1, 1, 2)
@@ -85,8 +85,9 @@ def hot_window(base_rows: int, hot_percent: int = HOT_PERCENT) -> tuple[int, int
     return base_rows - size + 1, size, coprime_stride(size)
 
 
-def changes(spark: SparkSession, spec: TableSpec, n: int, base_rows: int, mix: str = "50:0:50", rows: dict[str, int] | None = None, how: str = "xxhash64", start: str = START, span_days: int = SPAN_DAYS, hot_percent: int = HOT_PERCENT) -> DataFrame:
-    """n changes, one a key at most: updates and deletes among the newest keys, inserts with new keys on the day after the base period."""
+def changes(spark: SparkSession, spec: TableSpec, n: int, base_rows: int, mix: str = "50:0:50", rows: dict[str, int] | None = None, how: str = "xxhash64", start: str = START, span_days: int = SPAN_DAYS, hot_percent: int = HOT_PERCENT, order: str | None = None) -> DataFrame:
+    """n changes, one a key at most: updates and deletes among the newest keys, inserts with new keys on the day after the base period.
+    order: a column for the place of each change, from 0."""
     n_upd, n_del, _ = split_mix(n, mix)
     lo, size, stride = hot_window(base_rows, hot_percent)
     if n_upd + n_del > size:
@@ -99,7 +100,7 @@ def changes(spark: SparkSession, spec: TableSpec, n: int, base_rows: int, mix: s
     created = F.when(F.col("isn") <= base_rows, F.date_add(day, F.expr(f"cast((isn - 1) * {span_days} div {base_rows} as int)"))).otherwise(F.date_add(day, span_days))
     ts = F.date_add(day, span_days).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("k") / F.lit(1000000)).cast("decimal(18,6)"))
     d = d.withColumn("created_date", created).withColumn("change_ts", ts)
-    return d.select("isn", "op_code", "change_ts", F.lit(1).alias("batch_id"), "created_date", *fields_of(spec, rows or {spec.name: base_rows} | {t: base_rows for t in ("customer", "account", "card", "policy", "employees")}, how))
+    return d.select(*([F.col("k").alias(order)] if order else []), "isn", "op_code", "change_ts", F.lit(1).alias("batch_id"), "created_date", *fields_of(spec, rows or {spec.name: base_rows} | {t: base_rows for t in ("customer", "account", "card", "policy", "employees")}, how))
 
 
 def numbers(spark: SparkSession, n: int = 1_000_000) -> DataFrame:

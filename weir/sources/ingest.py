@@ -6,9 +6,10 @@ whole if it can't be parsed or cast, lacks an envelope column, has an unknown op
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,18 +24,31 @@ class LoadError(Exception):
 
 @dataclass
 class Load:
-    """good: flat rows; rejects: reason and record; both are views of one checked parse."""
+    """good: flat rows; rejects: reason and record; both are views of one checked parse (_why: null if a row is good)."""
 
     good: DataFrame
     rejects: DataFrame
+    checked: DataFrame
+
+    def counts(self) -> tuple[int, int]:
+        """The numbers of good rows and of rejects, in one pass."""
+        return tuple(self.checked.agg(F.count_if(F.col("_why").isNull()), F.count_if(F.col("_why").isNotNull())).first())
 
     def check(self, expected: int | None = None) -> int:
         """The number of good rows; raises if a record was rejected or the number is not the expected one."""
-        bad = self.rejects.count()
-        rows = self.good.count()
-        if bad or (expected is not None and rows != expected):
-            raise LoadError(f"{rows} rows" + f", {expected} expected" * (expected is not None) + f", {bad} rejected")
-        return rows
+        return _expect(*self.counts(), expected)
+
+    def counted(self, expected: int | None = None) -> tuple[DataFrame, Callable[[], int]]:
+        """The good rows, and a check as above that is valid after those rows were written: both counts are taken on the way."""
+        seen = Observation()
+        rows = self.checked.observe(seen, F.count_if(F.col("_why").isNull()).alias("good"), F.count_if(F.col("_why").isNotNull()).alias("bad"))
+        return rows.where("_why is null").select(*self.good.columns), lambda: _expect(seen.get["good"], seen.get["bad"], expected)
+
+
+def _expect(rows: int, bad: int, expected: int | None) -> int:
+    if bad or (expected is not None and rows != expected):
+        raise LoadError(f"{rows} rows" + f", {expected} expected" * (expected is not None) + f", {bad} rejected")
+    return rows
 
 
 def _json(spark: SparkSession, path: str | list[str], fields: list[T.StructField]) -> DataFrame:
@@ -55,7 +69,7 @@ def reason(spec: TableSpec, columns: dict[str, Column] | None = None) -> Column:
 def _split(flat: DataFrame, spec: TableSpec, record: Column) -> Load:
     why = F.when(F.col("_bad").isNotNull(), F.lit("not a record of this shape")).otherwise(reason(spec))
     checked = flat.withColumn("_why", why)
-    return Load(checked.where("_why is null").select(*spec.columns), checked.where("_why is not null").select(F.col("_why").alias("reason"), F.coalesce("_bad", record).alias("record")))
+    return Load(checked.where("_why is null").select(*spec.columns), checked.where("_why is not null").select(F.col("_why").alias("reason"), F.coalesce("_bad", record).alias("record")), checked)
 
 
 def read_records(spark: SparkSession, path: str | list[str], spec: TableSpec) -> Load:
@@ -107,6 +121,27 @@ def document_source(parsed: DataFrame, spec: TableSpec, max_occurs: int | None =
     return _split(flat.where("isn is not null or _r is not null"), spec, F.to_json("_r"))
 
 
+def reject_counts(parsed: DataFrame, specs: dict[str, TableSpec], documents: bool) -> dict[str | None, int]:
+    """Rejects by table, None for lines that no table takes, in one pass over the parsed batch. Tables without rejects aren't named."""
+
+    def bad(spec: TableSpec, header: Column, record: Column) -> Column:
+        return reason(spec, dict(zip(spec.columns, spec.projection(header, record)))).isNotNull()
+
+    def bad_items(spec: TableSpec) -> Column:
+        return F.greatest(F.lit(0), F.size(F.filter(spec.name, lambda i: i.isNotNull() & bad(spec, i["hdr"], i["rec"]))))
+
+    whole = F.col(CORRUPT).isNull()
+    if documents:
+        each = {n: F.sum(F.when(whole, bad_items(s))) for n, s in specs.items()}
+        none = F.count_if(~whole)
+    else:
+        each = {n: F.count_if(whole & (F.col("hdr.file") == n) & bad(s, F.col("hdr"), F.col(n))) for n, s in specs.items()}
+        none = F.count_if(~whole | F.col("hdr.file").isNull() | ~F.col("hdr.file").isin(*specs))
+    # names by number: a table may be called as anything
+    row = parsed.agg(none.alias("n"), *[c.alias(f"n{k}") for k, c in enumerate(each.values())]).first()
+    return {t: n for t, n in zip((None, *each), row) if n}
+
+
 def overflow(parsed: DataFrame, specs: dict[str, TableSpec], max_occurs: int) -> DataFrame:
     """Documents that hold more than max_occurs records of a table: et_id, table, records."""
     sizes = F.array(*[F.struct(F.lit(n).alias("table"), F.size(n).alias("records")) for n in specs])

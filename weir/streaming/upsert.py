@@ -1,6 +1,7 @@
 """Continuous upsert: JSON change files that arrive in a folder are applied batch by batch.
 
-A checkpoint makes each file count once; a batch that is replayed after a failure is recognised by its number, which the table keeps.
+A checkpoint makes each file count once. A batch that is replayed after a failure is recognised by its number, which the table's manifest
+keeps for each stream (named by its checkpoint): it was published with the batch's rows, so that both are there or neither.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ def run_upsert(spark: SparkSession, path: str, table: JournalTable, checkpoint:
 
     def each(raw: DataFrame, number: int) -> None:
         rows = flatten(raw, table.spec)
-        (on_batch or (lambda df, _: table.append(df)))(rows, number)
+        if on_batch:
+            on_batch(rows, number)
+        else:
+            table.append(rows, batch=(checkpoint, number))
+            table.maintain()
 
     return change_stream(spark, path, table.spec).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
