@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import exact_dedup, packing, quality, simhash, suffix_dedup
-from weir.llm.common import fold, materialize, shared_dir, small_batches, table
+from weir.llm.common import fold, forget, materialize, shared_dir, small_batches, table, written
 from weir.llm.queries import tokenizer
 
 #: A passage is repeated from this many bytes on: some 30 words, so that passages of 50 words are caught with their edges.
@@ -70,10 +70,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = written()
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
         out.write.parquet(path)
+        forget(spark, before)  # the stage's own tables; its result doesn't need them any more
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
