@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT = "spark.checkpoint.dir"
+from ..workdir import shared_root
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is named."""
-    named = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="weir-")
-        spark.conf.set(CHECKPOINT, named)
-    return named.rstrip("/")
+    """The folder that driver and executors share, as the session names it; a temporary one only in local sessions that name none."""
+    return shared_root(spark)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that materialize wrote in this process (after the first `since`): for when results have been written."""
+    while len(_WRITTEN) > since:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written() -> int:
+    """How many tables materialize has written so far (see forget)."""
+    return len(_WRITTEN)
 
 
 def materialize(df: DataFrame, name: str, keep_shuffles: bool = False) -> DataFrame:
@@ -34,6 +45,7 @@ def materialize(df: DataFrame, name: str, keep_shuffles: bool = False) -> DataFr
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
