@@ -153,3 +153,24 @@ def test_empty_tables(spark):
     assert packing.pack(packing.pieces(empty(spark), P.path("word_bpe_49k.json"))).collect() == []
     assert pieces.encode_digests(empty(spark), P.path("piece_bpe_32k.model")).collect() == []
     assert token_counts.section_counts(empty(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
+
+
+def test_functions_reach_workers_without_the_package():
+    """What runs on executors travels by value: a worker needs not have the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from weir.llm import quality, simhash
+docs = spark.createDataFrame([(i, f"some words of text {{i}} and more") for i in range(20)], "doc_id long, text string")
+labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+rows, n = simhash.numbered(docs, "doc_id")
+print(quality.classify(docs, labels).count(), simhash.near_copies(rows, n).count() >= 0)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd="/", timeout=300)
+    assert done.stdout.split() == ["20", "True"], done.stderr[-2000:]
