@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import report
@@ -64,6 +64,35 @@ def cmd_generate(args) -> None:
     print(f"changes: {count_label(n)} ({n_upd} updates, {n_del} deletes, {n_ins} inserts)")
 
 
+def apply_batch(base: ManifestTable, path: str, lines: str, method: str, changes: int | None = None) -> tuple[report.Timer, DataFrame, DataFrame]:
+    """Apply JSON changes to a clone of a table by one method: the times of load (parse and write) and apply, the current rows, the batch."""
+    spark, spec, timer = base.spark, base.spec, report.Timer()
+    if method == "upsert":
+        target = JournalTable(spark, path, spec)
+        target.journal.destroy()
+        base.clone(f"{path}/journal")
+    else:
+        ManifestTable(spark, path, spec).destroy()
+        target = base.clone(path)
+    load = ingest.read_records(spark, lines, spec)
+    stage = f"{path}_delta"
+    with timer.step("load"):  # rejects stop the batch before it is published or applied
+        rows, check = load.counted(changes)
+        if method == "upsert":
+            target.append(rows, check)
+        else:
+            rows.write.mode("overwrite").parquet(stage)
+            check()
+    batch = load.good if method == "upsert" else spark.read.schema(load.good.schema).parquet(stage)
+    with timer.step("apply"):
+        if method == "swap":
+            swap.apply_swap(target, batch, stage=False)
+        elif method == "merge":
+            merge.apply_merge(target, batch, stage=False)
+    current = target.current() if method == "upsert" else swap.current(target) if method == "swap" else merge.current(target)
+    return timer, current, batch
+
+
 def cmd_run(args) -> None:
     """Apply the fact table's batch by one method or all, compare their current rows, report times."""
     spark, facts = args.spark, generate.read_manifest(args.spark, f"{args.root}/manifest")
@@ -73,33 +102,11 @@ def cmd_run(args) -> None:
     runs, currents = [], {}
     for run in range(1, args.runs + 1):
         for method in args.method.split(",") if args.method != "all" else METHODS:
-            path, timer = f"{args.root}/{name}_{method}_{run}", report.Timer()
-            if method == "upsert":
-                target = JournalTable(spark, path, spec)
-                target.journal.destroy()
-                base.clone(f"{path}/journal")
-            else:
-                ManifestTable(spark, path, spec).destroy()
-                target = base.clone(path)
-            load = ingest.read_records(spark, f"{args.root}/json_records", spec)
-            stage = ManifestTable(spark, f"{path}_delta", spec)
-            stage.destroy()
-            with timer.step("load"):  # rejects stop the batch before it is published or applied
-                rows, check = load.counted(n)
-                if method == "upsert":
-                    target.append(rows, check)
-                else:
-                    stage.create(rows, check)
-            with timer.step("apply"):
-                if method == "swap":
-                    swap.apply_swap(target, stage.read(), stage=False)
-                elif method == "merge":
-                    merge.apply_merge(target, stage.read(), stage=False)
-            currents[method] = target.current() if method == "upsert" else swap.current(target) if method == "swap" else merge.current(target)
+            timer, currents[method], batch = apply_batch(base, f"{args.root}/{name}_{method}_{run}", f"{args.root}/json_records", method, n)
             runs.append((run, method, timer.ms["load"], timer.ms["apply"], n))
             print(f"run {run}, {method}: load {timer.ms['load']:.0f} ms, apply {timer.ms['apply']:.0f} ms, {rate(n, sum(timer.ms.values()))}")
         if not args.no_check:
-            first = 1 if args.full_check else validate.check_from(base.read(), stage.read() if stage.exists() else load.good, facts["rows"]).first()[0] or 1
+            first = 1 if args.full_check else validate.check_from(base.read(), batch, facts["rows"]).first()[0] or 1
             columns = [c for c in spec.columns if c not in ("op_code", "batch_id")]
             rows, checksum = validate.expect_equal(validate.compare(currents, columns, first), validate.expected_rows(facts["rows"], first, n, facts["mix"]))
             print(f"checked: {rows} current rows from isn {first}, checksum {checksum}")

@@ -1,6 +1,6 @@
 """Merge by key: matched rows get the batch's image, unmatched ones are added; deletes stay as tombstones.
 
-`vectors` writes the batch and a delete vector of its keys: its cost follows the batch. `copy` rewrites the months that hold the
+`vectors` writes the batch, whose files are the delete vector of its keys: its cost follows the batch. `copy` rewrites the months that hold the
 batch's keys, as a table without vectors needs.
 """
 
@@ -40,8 +40,7 @@ def apply_merge(table: ManifestTable, delta: DataFrame, how: str = "vectors", de
         if guard_ts:
             delta = guarded(delta, table.read(), table.spec)
         if how == "vectors":
-            keys = delta.select(key)
-            return table.delete_and_append(keys.join(table.read().select(key), key, "left_semi") if exact else keys, delta)
+            return table.delete_and_append(delta, delta.select(key).join(table.read().select(key), key, "left_semi") if exact else None)
         if how == "copy":
             m, months = table.manifest(), month_ranges(delta, key)
             # only entries that can hold one of the keys are looked at

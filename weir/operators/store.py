@@ -7,8 +7,8 @@ So a partition swap, a clone, a link or a drop costs a manifest, whatever the ta
 scan is planned.
 
 An entry is [path, sequence, first key, last key, rows]. The sequence is the version that wrote or linked it; a delete vector of
-sequence n hides its keys in entries of smaller numbers only, and only entries whose keys it can meet are joined with it: a read of
-months that no vector concerns is a plain scan. Paths go through Hadoop's file systems: any store that Spark reads.
+sequence n (a file of keys, often the new rows' own) hides its keys in entries of smaller numbers only, and only entries whose keys it
+can meet are joined with it: a read of months that no vector concerns is a plain scan. Paths go through Hadoop's file systems: any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -148,11 +148,13 @@ class ManifestTable:
             return self._rows(entries)
         plain = [e for e in entries if e not in met]
         vectors = [d for d in m["deletes"] if any(d[1] > e[1] and meets(e, [(d[2], d[3])]) for e in met)]
-        gone = None
+        gone, by_seq = None, {}
         for path, seq, *_ in vectors:
-            d = self.spark.read.schema(f"`{key}` bigint").parquet(path).withColumn("_until", F.lit(seq).cast("long"))
+            by_seq.setdefault(seq, []).append(path)
+        for seq, paths in by_seq.items():
+            d = self.spark.read.schema(f"`{key}` bigint").parquet(*paths).withColumn("_until", F.lit(seq).cast("long"))
             gone = d if gone is None else gone.unionByName(d)
-        if len(vectors) > 1:
+        if len(by_seq) > 1:
             gone = gone.groupBy(key).agg(F.max("_until").alias("_until"))
         rows = self._rows(met, sequences=True)
         rows = rows.join(gone.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("_seq") < F.col("_until")), "left_anti").drop("_seq")
@@ -189,16 +191,19 @@ class ManifestTable:
             m["parts"].setdefault(p, []).extend(es)
         return self.publish(m)
 
-    def delete_and_append(self, keys: DataFrame, df: DataFrame) -> int:
-        """Hide keys in all that is there and append rows, in one version."""
+    def delete_and_append(self, df: DataFrame, keys: DataFrame | None = None) -> int:
+        """Hide keys in all that is there and append rows, in one version. Without keys those of the rows: their files are the vector."""
         m, key = self.manifest(), self.spec.key
-        seq, path = m["version"] + 1, f"{self.path}/deletes/{uuid.uuid4().hex}"
-        keys.select(F.col(key).cast("long")).write.parquet(path)
-        lo, hi = self.spark.read.schema(f"`{key}` bigint").parquet(path).agg(F.min(key), F.max(key)).first()
+        seq = m["version"] + 1
+        if keys is not None:
+            path = f"{self.path}/deletes/{uuid.uuid4().hex}"
+            keys.select(F.col(key).cast("long")).write.parquet(path)
+            lo, hi = self.spark.read.schema(f"`{key}` bigint").parquet(path).agg(F.min(key), F.max(key)).first()
+            m["deletes"] += [[path, seq, lo, hi]] if lo is not None else []
         for p, es in self.write_data(df, seq).items():
             m["parts"].setdefault(p, []).extend(es)
-        if lo is not None:
-            m["deletes"].append([path, seq, lo, hi])
+            if keys is None:
+                m["deletes"] += [e[:4] for e in es]
         return self.publish(m)
 
     def swap(self, stage: dict[str, list], drop: list[int] = ()) -> int:
@@ -243,7 +248,7 @@ class ManifestTable:
     def maintain(self, runs: int = 64, vectors: int = 32) -> bool:
         """Compact if a month has more runs or the table more vectors than that, so that reads stay cheap however many batches come."""
         m = self.manifest()
-        if len(m["deletes"]) <= vectors and max(map(len, m["parts"].values()), default=0) <= runs:
+        if len({d[1] for d in m["deletes"]}) <= vectors and max(map(len, m["parts"].values()), default=0) <= runs:
             return False
         self.compact()
         return True

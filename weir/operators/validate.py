@@ -65,7 +65,7 @@ def preflight(tables: dict[str, tuple[object, int]]) -> None:
     for name, (t, rows) in tables.items():
         if not t.exists():
             raise CheckFailed(f"{name} is missing; generate it first")
-        if (n := t.read().count()) != rows:
+        if (n := t.count()) != rows:
             raise CheckFailed(f"{name} has {n} rows, {rows} expected; generate it again")
 
 
