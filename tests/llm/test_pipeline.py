@@ -53,3 +53,21 @@ def test_repeated_rows_leave_one(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in near) == ["1", "2", "3", "3", "None"]
     exact = corpus_pipeline.exact_dedup_stage(spark, docs, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in exact) == ["1", "2", "3"]
+
+
+def test_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    own = ("_w_score", "_w_row", "_w_n", "_w_k1", "_w_k2", "_w_starts", "_w_text", "_id", "_n", "_g", "_root")
+    passage = words(80, 50)
+    rows = [(i, words(120, i)) for i in range(30)] + [(40, words(120, 3)), (41, words(60, 90) + " " + passage), (42, passage + " " + words(60, 91))]
+    plain = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = plain.withColumns({c: F.lit(c) for c in own})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    sf = build(tmp_path, plain, labels)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(str(tmp_path / f"in_{name}"))
+        docs = stage(spark, spark.read.parquet(str(tmp_path / f"in_{name}")), sf)
+        assert docs.columns == [*plain.columns, *own], name
+        assert all(r[c] == c for r in docs.collect() for c in own)
+    assert docs.count() == 32 and not docs.where(F.contains("text", F.lit(passage))).count()

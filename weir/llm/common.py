@@ -63,6 +63,19 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def apart(docs: DataFrame, prefix: str = "_w_") -> tuple[DataFrame, dict[str, str]]:
+    """docs whose columns don't begin with a prefix that operators use for their own, and the names to give back to a result."""
+    taken, back = set(docs.columns), {}
+    for c in docs.columns:
+        if c.startswith(prefix):
+            new = "w" + c
+            while new in taken:
+                new = "w" + new
+            taken.add(new)
+            back[new] = c
+    return docs.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 def fold(id_col: str, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % of
