@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import exact_dedup, packing, quality, simhash, suffix_dedup
-from weir.llm.common import fold, forget, materialize, shared_dir, small_batches, table, written
+from weir.llm.common import apart, fold, forget, materialize, shared_dir, small_batches, table, written
 from weir.llm.queries import tokenizer
 
 #: A passage is repeated from this many bytes on: some 30 words, so that passages of 50 words are caught with their edges.
@@ -24,16 +24,18 @@ WORDS_KEPT = 300_000
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a score of at least quality.THRESHOLD."""
     small_batches(spark)
+    docs, back = apart(docs)
     space = quality.fit(docs, table(spark, sf_dir, "labels"), fold("_id", quality.FOLDS) != quality.HELD_OUT)
     scored = quality.score(docs, space, keep=docs.columns, name="_w_score")
-    return scored.where(F.col("_w_score") >= quality.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col("_w_score") >= quality.THRESHOLD).select(*docs.columns).withColumnsRenamed(back)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
+    docs, back = apart(docs)
     numbered = materialize(docs.withColumn("_w_row", F.monotonically_increasing_id()), "numbered")
     gone = exact_dedup.exact_dedup(numbered, row_id="_w_row").where("not kept").select(F.col("_rid").alias("_w_row"))
-    return numbered.join(gone, "_w_row", "left_anti").select(*docs.columns)
+    return numbered.join(gone, "_w_row", "left_anti").select(*docs.columns).withColumnsRenamed(back)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of PASSAGE bytes or more that occur again out of the texts; n_chars follows."""
     small_batches(spark)
-    return suffix_dedup.remove(docs, length=PASSAGE, size_col="n_chars")
+    docs, back = apart(docs)
+    return suffix_dedup.remove(docs, length=PASSAGE, size_col="n_chars").withColumnsRenamed(back)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
