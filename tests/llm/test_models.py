@@ -40,6 +40,16 @@ def test_lm_learns_order(spark):
     assert sum(x.score for x in got) > 0.75 * sum(x.base_score for x in got)
 
 
+def test_lm_learns_from_every_triple():
+    k = 300
+    n = np.where(np.arange(k) == 0, 1e6, 1.0)
+    share = np.full(k, 1 / k)
+    p = lm.start(k - 2, k - 1, share)
+    got = lm.nce(p, np.arange(k), np.arange(k), np.arange(k), n, share, 0.25, 1)
+    assert (np.abs(got["C1"] - p["C1"]).max(1) > 0).all() and (np.abs(got["C2"] - p["C2"]).max(1) > 0).all()
+    assert lm.visits(n).min() == 1 and lm.visits(n).sum() < 2 * k
+
+
 def test_lm_is_normalised(spark):
     share = np.array([0.5, 0.2, 0.2, 0.1])
     p = lm.start(2, 3, share)

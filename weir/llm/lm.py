@@ -7,8 +7,9 @@ to the tasks, so that only the others' tokens are shuffled, summed up by text.
 The model predicts a class: one of the TARGETS most frequent words (the end is one where it is frequent enough), or `other`. Its
 two context words are among the CONTEXTS most frequent, `other` or `begin`: score(w | a, b) = (C1[a] + C2[b]) . R[w] + bias[w]. It is
 trained in numpy on the counts of all (context, class) triples of the training texts: in each round every shard of that table
-makes steps of noise-contrastive estimation from the same parameters, drawing triples in proportion to their counts, and the
-shards' parameters are averaged (iterative parameter mixing). The number of shards is fixed and so is what comes to the driver.
+makes steps of noise-contrastive estimation from the same parameters, on a shuffled walk over all its triples (each is visited in
+every round, frequent ones more often, and weights make up for the rest of their counts), and the shards' parameters are averaged
+(iterative parameter mixing). The number of shards is fixed and so is what comes to the driver.
 Normalisers of all contexts come from batched matrix products, so the classes' probabilities add up to one. A word of class
 `other` has the share (c + 0.1) of the mass of all words there, unknown ones being one more word: the text's probability is
 normalised over the same events as the base score.
@@ -28,7 +29,7 @@ from .common import fold, materialize, text_of, word_slices
 
 HOT, LONGEST, CONTEXTS, TARGETS, DIM = 200_000, 64, 510, 2047, 32
 SHARDS, ROUNDS, NOISE, STEP, RATE, SMOOTH = 12, 3, 96, 2048, 0.25, 0.1
-PASSES, LEAST_STEPS = 1, 60
+VISITS, LEAST_STEPS = 0.5, 60
 FOLDS, HELD_OUT = 10, 0
 END = b""  # no word is empty
 _FLUSH = 250_000
@@ -127,15 +128,23 @@ def start(contexts: int, targets: int, share: np.ndarray, dim: int = DIM) -> dic
     return {k: rng.normal(0, 0.05, s).astype(np.float32) for k, s in shape.items()} | {"bias": np.log(share).astype(np.float32)}
 
 
+def visits(n: np.ndarray, share: float = VISITS) -> np.ndarray:
+    """How often a pass comes by each triple of count n: once at least, and `share` as many visits as triples go by the counts."""
+    return np.maximum(np.rint(n * (share * len(n) / n.sum())), 1).astype(np.int32)
+
+
 def nce(p: dict, first, second, cls, n, share: np.ndarray, rate: float, seed: int, noise: int = NOISE, step: int = STEP) -> dict:
-    """One pass of noise-contrastive steps: as many draws as there are triples, in proportion to their counts n."""
+    """One pass of noise-contrastive steps over all triples; a visit weighs as much as the part of the count n that it stands for."""
     rng = np.random.default_rng(seed)
     p = {k: v.copy() for k, v in p.items()}
     past = {k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
-    weight = np.cumsum(n / n.sum())
+    times = visits(n)
+    walk = np.repeat(np.arange(len(n), dtype=np.int32), times)
+    even = len(walk) / n.sum()
+    walk = np.tile(walk, -(-LEAST_STEPS * step // len(walk)))
+    rng.shuffle(walk)
     steady = np.cumsum(share)
     log_kq = np.log(noise * share).astype(np.float32)
-    draws = max(PASSES * len(n), LEAST_STEPS * step)
 
     def sigmoid(x):
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -146,13 +155,14 @@ def nce(p: dict, first, second, cls, n, share: np.ndarray, rate: float, seed: in
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         m[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
-    for _ in range(-(-draws // step)):
-        at = np.minimum(np.searchsorted(weight, rng.random(step)), len(n) - 1)
+    for i in range(0, len(walk), step):
+        at = walk[i : i + step]
         w, a, b = cls[at], first[at], second[at]
+        heavy = (n[at] / times[at] * even).astype(np.float32)
         z = np.minimum(np.searchsorted(steady, rng.random(noise)), len(share) - 1)
         q = p["C1"][a] + p["C2"][b]
-        good = 1 - sigmoid((q * p["R"][w]).sum(1) + p["bias"][w] - log_kq[w])
-        bad = -sigmoid(q @ p["R"][z].T + p["bias"][z] - log_kq[z])
+        good = heavy * (1 - sigmoid((q * p["R"][w]).sum(1) + p["bias"][w] - log_kq[w]))
+        bad = -heavy[:, None] * sigmoid(q @ p["R"][z].T + p["bias"][z] - log_kq[z])
         dq = good[:, None] * p["R"][w] + bad @ p["R"][z]
         g = {k: np.zeros_like(v) for k, v in p.items()}
         add(g["C1"], a, dq)
@@ -160,9 +170,9 @@ def nce(p: dict, first, second, cls, n, share: np.ndarray, rate: float, seed: in
         add(g["R"], np.concatenate([w, z]), np.concatenate([good[:, None] * q, bad.T @ q]))
         g["bias"] += np.bincount(np.concatenate([w, z]), np.concatenate([good, bad.sum(0)]), len(share)).astype(np.float32)
         for k, v in p.items():
-            d = g[k] / step
-            past[k] += d * d * step
-            v += rate * d * step**0.5 / np.sqrt(past[k])
+            d = g[k] / len(at)
+            past[k] += d * d * len(at)
+            v += rate * d * len(at) ** 0.5 / np.sqrt(past[k])
     return p
 
 
