@@ -21,6 +21,13 @@ def merged(target: DataFrame, delta: DataFrame, key: str = "isn") -> DataFrame:
     return target.join(delta.select(key), key, "left_anti").unionByName(delta.select(*target.columns))
 
 
+def outer_merged(target: DataFrame, delta: DataFrame, key: str = "isn") -> DataFrame:
+    """The same rows by the general plan, a full outer join that shuffles both sides whole: a check of `merged`, not a way to apply."""
+    columns = target.columns
+    old, new = target.select(F.struct(*columns).alias("_old")), delta.select(F.struct(*columns).alias("_new"))
+    return old.join(new, F.col(f"_old.{key}") == F.col(f"_new.{key}"), "full_outer").select(F.coalesce("_new", "_old").alias("_r")).select("_r.*")
+
+
 def effects(target: DataFrame, delta: DataFrame, key: str = "isn") -> DataFrame:
     """n_updated (changes with a matching row), n_inserted (the others)."""
     met = delta.select(key).join(target.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")

@@ -19,7 +19,7 @@ from .sources.spec import TableSpec, catalog, parse_spec
 from .streaming.upsert import run_upsert
 from .workdir import work_path
 
-SPECS = parse_spec("""
+SPEC_TEXT = """
 T|ord|1|Orders|fact
 F|ord|acct_isn|acct_isn|BIGINT
 F|ord|amount|amount|NUMERIC(15,2)
@@ -35,7 +35,8 @@ T|msg|4|Messages
 F|msg|conv|conv_id|BIGINT
 F|msg|role|role|VARCHAR(20)
 F|msg|text|text|VARCHAR(10000000)
-""")
+"""
+SPECS = parse_spec(SPEC_TEXT)
 ORD = SPECS["ord"]
 THREE = {n: SPECS[n] for n in ("ord", "cust", "supp")}
 OUT = ORD.columns
@@ -465,6 +466,66 @@ def predicates(spark, sf):
     return o.agg(*[F.count(F.expr(f"case when {p} then 1 end")).alias(n) for n, p in t.items()])
 
 
+def merge_outer_plan(spark, sf):
+    return merge.outer_merged(base(spark, sf), changes(spark, sf)).select(*OUT)
+
+
+def rows_in_common(spark, sf):
+    """The base against the current rows after the changes."""
+    return validate.overlap(base(spark, sf), merge.current(_merged(spark, sf, "vectors")).select(*OUT))
+
+
+def preflight_tables(spark, sf):
+    """What the catalog knows of a generated table, one that was merged into and one that isn't there."""
+    tables = {"base": _keyed(spark, sf), "merged": _merged(spark, sf, "vectors"), "absent": ManifestTable(spark, work_path(spark, "absent"), ORD)}
+    return spark.createDataFrame(validate.sizes({n: (t, 0) for n, t in tables.items()}), "tab string, present boolean, months long, n_rows long, expected long").drop("expected")
+
+
+def drop_and_create(spark, sf):
+    """A table dropped with its files and made again from the changes."""
+    t = _keyed(spark, sf)
+    t.destroy()
+    return t.create(changes(spark, sf)).read().select(*OUT)
+
+
+def physical_order(spark, sf):
+    """Rows of a compacted table that have a smaller key than the row before them in their file."""
+    t = _merged(spark, sf, "vectors")
+    t.compact()
+    rows = t.read().select("isn", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = F.lag("isn").over(Window.partitionBy("file").orderBy("at"))
+    return rows.select((before > F.col("isn")).alias("late")).agg(F.count("*").alias("n_rows"), F.count_if("late").alias("n_late"))
+
+
+def spec_fields(spark, sf):
+    rows = [(s.name, i, f.path, f.column, f.type) for s in SPECS.values() for i, f in enumerate(s.fields)]
+    return spark.createDataFrame(rows, "tab string, pos int, path string, col string, type string")
+
+
+def manifest_read(spark, sf):
+    """Facts of a table as a manifest keeps them, read back."""
+    path, t = work_path(spark, "facts"), _keyed(spark, sf)
+    generate.write_manifest(spark, path, rows=t.count(), months=len(t.parts()), mix="50:0:50")
+    return spark.createDataFrame([generate.read_manifest(spark, path)], "rows long, months long, mix string")
+
+
+def _report_lines(spark, sf, form) -> DataFrame:
+    by_status = _table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")).orderBy("status")  # a row a status
+    return spark.createDataFrame(list(enumerate(form(by_status).split("\n"))), "line int, value string")
+
+
+def report_tsv(spark, sf):
+    return _report_lines(spark, sf, report.tsv)
+
+
+def report_markdown(spark, sf):
+    return _report_lines(spark, sf, report.markdown)
+
+
+def clock_and_version(spark, sf):
+    return _table(spark, sf, "orders").agg(F.count_if(F.col("o_orderdate") < S.sysdate()).alias("n_past"), F.bool_and(S.version().rlike("^[0-9]+[.][0-9]+")).alias("has_version"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_query"): f
     for f in (
@@ -472,6 +533,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         swap_current, swap_gap_partitions, merge_current, merge_mor_read, merge_with_tombstones, merge_compacted, merge_updates_vs_inserts, merge_delete_vectors, late_change_upsert, late_change_merge, late_change_guarded,
         fanout_rejects, doc_slots_two, unbounded_arrays, clone_isolated, link_and_drop, view_scan, insert_values, fingerprint_md5, batch_check, check_from, cross_method_fp, partition_plan_query, number_table, generated_base, generated_changes, hot_window_perm,
         storage_summary, manifest_statistics, report_avg_ratio, report_pivot, scalar_functions, predicates,
+        merge_outer_plan, rows_in_common, preflight_tables, drop_and_create, physical_order, spec_fields, manifest_read, report_tsv, report_markdown, clock_and_version,
     )
 } | {f"fanout_{shape}_{n}": _fanned(shape, n) for shape in ("mixed", "docs") for n in THREE} | {f"fanout_{shape}_ten": _fanned_ten(shape) for shape in ("mixed", "docs")}
 
@@ -577,6 +639,8 @@ def _ten_sql() -> str:
     return keys + " " + " UNION ALL ".join(f"SELECT '{n}' AS tab, count(*) AS n_rows, {_md5(_columns(s.columns))} AS checksum FROM (SELECT *, {_fields_sql(s, TEN_ROWS)} FROM e)" for n, s in TEN.items())
 
 
+_CUR = f"cur AS ({_CURRENT.removeprefix(_WITH + ',').replace('allv AS', 'WITH allv AS', 1)})"
+_STATUS = "WITH s AS (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1)"
 _O = "CAST(o_orderdate AS DATE)"
 SQL: dict[str, str] = {
     **{n: _CURRENT for n in ("upsert_current", "journal_compact", "stream_upsert", "swap_current", "merge_current", "merge_mor_read", "merge_compacted")},
@@ -628,6 +692,19 @@ SQL: dict[str, str] = {
         count(*) FILTER (o_orderpriority LIKE '%-LO_') AS "like", count(*) FILTER (o_orderpriority NOT LIKE '1%') AS not_like, count(*) FILTER (o_orderpriority ILIKE '%urgent') AS "ilike", count(*) FILTER (o_orderdate IS NOT NULL) AS not_null,
         count(*) FILTER ((o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01') OR (o_orderdate >= TIMESTAMP '1997-05-01' AND o_orderdate < TIMESTAMP '1997-06-01')) AS half_open FROM orders""",
     "manifest_statistics": f"WITH {_BASE} SELECT {_PART} AS part, count(*) AS n_rows, min(isn) AS first_key, max(isn) AS last_key FROM base GROUP BY 1",
+    "merge_outer_plan": f"{_WITH} SELECT {', '.join(f'CASE WHEN c.isn IS NULL THEN b.{c} ELSE c.{c} END AS {c}' for c in OUT)} FROM base b FULL OUTER JOIN chg c ON b.isn = c.isn",
+    "rows_in_common": f"""{_WITH}, {_CUR}, a AS (SELECT {_COLS} FROM base), b AS (SELECT {_COLS} FROM cur) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS n_first,
+        (SELECT count(*) FROM (SELECT * FROM a INTERSECT ALL SELECT * FROM b)) AS n_both, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS n_second, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS n_distinct""",
+    "preflight_tables": f"""{_WITH}, t AS ({_TOMBS.removeprefix(_WITH)}) SELECT 'base' AS tab, true AS present, count(DISTINCT {_PART}) AS months, count(*) AS n_rows FROM base
+        UNION ALL SELECT 'merged', true, count(DISTINCT {_PART}), count(*) FROM t UNION ALL SELECT 'absent', false, 0, 0""",
+    "drop_and_create": f"{_WITH} SELECT {_COLS} FROM chg",
+    "physical_order": f"{_WITH}, t AS ({_TOMBS.removeprefix(_WITH)}) SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_late FROM t",
+    "spec_fields": f"""WITH l AS (SELECT unnest(string_split('{SPEC_TEXT.strip()}', chr(10))) AS line, generate_subscripts(string_split('{SPEC_TEXT.strip()}', chr(10)), 1) AS n), f AS (SELECT string_split(line, '|') AS p, n FROM l WHERE line[1] = 'F')
+        SELECT p[2] AS tab, CAST(row_number() OVER (PARTITION BY p[2] ORDER BY n) - 1 AS INTEGER) AS pos, p[3] AS path, p[4] AS col, p[5] AS type FROM f""",
+    "manifest_read": f"WITH {_BASE} SELECT count(*) AS rows, count(DISTINCT {_PART}) AS months, '50:0:50' AS mix FROM base",
+    "report_tsv": f"{_STATUS} SELECT CAST(0 AS INTEGER) AS line, 'status' || chr(9) || 'n' AS value UNION ALL SELECT CAST(row_number() OVER (ORDER BY status) AS INTEGER), status || chr(9) || n FROM s",
+    "report_markdown": f"{_STATUS} SELECT CAST(0 AS INTEGER) AS line, '| status | n |' AS value UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT CAST(row_number() OVER (ORDER BY status) + 1 AS INTEGER), '| ' || status || ' | ' || n || ' |' FROM s",
+    "clock_and_version": "SELECT count(*) FILTER (o_orderdate < CAST(now() AS TIMESTAMP)) AS n_past, true AS has_version FROM orders",
     **{f"fanout_{shape}_ten": _ten_sql() for shape in ("mixed", "docs")},
     **{f"fanout_{shape}_{n}": _fan_sql(n) for shape in ("mixed", "docs") for n in THREE},
 }
